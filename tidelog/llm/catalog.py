@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidelog.llm import license_scan, line_dedup, packing, quality, sharding
+from tidelog.llm import license_scan, line_dedup, packing, quality, sharding, substring_dedup
 from tidelog.llm.common import table
 
 
@@ -25,6 +25,11 @@ def op6_shard(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = substring_dedup.substring_dedup(table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"))
+
+
 def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     model = quality.fit(docs, table(spark, sf_dir, "labels"))
@@ -36,5 +41,5 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.line_dedup(table(spark, sf_dir, "documents").select("doc_id", "source", "text"))
 
 
-QUERIES = {f.__name__: f for f in (op2_pack, op3_license_scan, op6_shard, op8_quality, op10_line_dedup)}
+QUERIES = {f.__name__: f for f in (op2_pack, op3_license_scan, op6_shard, op7_substring_dedup, op8_quality, op10_line_dedup)}
 ORACLE_SQL = {"op10_line_dedup": line_dedup.SQL}

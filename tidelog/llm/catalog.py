@@ -5,10 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidelog.llm import license_scan, line_dedup, packing, quality, sharding, substring_dedup
+from tidelog.llm import license_scan, line_dedup, near_dedup, packing, quality, sharding, substring_dedup
 from tidelog.llm.common import table
 
 
+def op1_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.near_classes(table(spark, sf_dir, "documents"))
+
+
 def op2_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
@@ -41,5 +45,5 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.line_dedup(table(spark, sf_dir, "documents").select("doc_id", "source", "text"))
 
 
-QUERIES = {f.__name__: f for f in (op2_pack, op3_license_scan, op6_shard, op7_substring_dedup, op8_quality, op10_line_dedup)}
+QUERIES = {f.__name__: f for f in (op1_near_dedup, op2_pack, op3_license_scan, op6_shard, op7_substring_dedup, op8_quality, op10_line_dedup)}
 ORACLE_SQL = {"op10_line_dedup": line_dedup.SQL}

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidelog.llm import license_scan, line_dedup, near_dedup, packing, quality, sharding, substring_dedup
+from tidelog.llm import decontaminate, license_scan, line_dedup, near_dedup, packing, quality, sharding, substring_dedup
 from tidelog.llm.common import table
 
 
@@ -21,6 +21,10 @@ def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan.license_scan(table(spark, sf_dir, "documents"))
 
 
+def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op6_shard(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = sharding.external_shuffle(table(spark, sf_dir, "documents").select("doc_id", "text"), 24)
     text = F.coalesce("text", F.lit(""))
@@ -45,5 +49,5 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.line_dedup(table(spark, sf_dir, "documents").select("doc_id", "source", "text"))
 
 
-QUERIES = {f.__name__: f for f in (op1_near_dedup, op2_pack, op3_license_scan, op6_shard, op7_substring_dedup, op8_quality, op10_line_dedup)}
+QUERIES = {f.__name__: f for f in (op1_near_dedup, op2_pack, op3_license_scan, op4_decontaminate, op6_shard, op7_substring_dedup, op8_quality, op10_line_dedup)}
 ORACLE_SQL = {"op10_line_dedup": line_dedup.SQL}

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidelog.llm import decontaminate, license_scan, line_dedup, near_dedup, packing, quality, sharding, substring_dedup
+from tidelog.llm import ann, decontaminate, license_scan, line_dedup, near_dedup, packing, quality, sharding, substring_dedup
 from tidelog.llm.common import table
 
 
@@ -45,9 +45,13 @@ def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", (F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0).alias("held_out"), "score", "predicted")
 
 
+def op9_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.search(table(spark, sf_dir, "embeddings"))
+
+
 def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.line_dedup(table(spark, sf_dir, "documents").select("doc_id", "source", "text"))
 
 
-QUERIES = {f.__name__: f for f in (op1_near_dedup, op2_pack, op3_license_scan, op4_decontaminate, op6_shard, op7_substring_dedup, op8_quality, op10_line_dedup)}
+QUERIES = {f.__name__: f for f in (op1_near_dedup, op2_pack, op3_license_scan, op4_decontaminate, op6_shard, op7_substring_dedup, op8_quality, op9_nearest, op10_line_dedup)}
 ORACLE_SQL = {"op10_line_dedup": line_dedup.SQL}

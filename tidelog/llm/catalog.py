@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidelog.llm import ann, decontaminate, license_scan, line_dedup, near_dedup, packing, quality, sharding, substring_dedup
+from tidelog.llm import ann, decontaminate, license_scan, line_dedup, near_dedup, packing, quality, sharding, substring_dedup, url_filter
 from tidelog.llm.common import table
 
 
@@ -25,6 +25,12 @@ def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op5_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages").select("page_id", "url")
+    captures = pages.withColumn("fetched_on", F.date_add(F.to_date(F.lit("2024-01-01")), (F.col("page_id") % 365).cast("int")))
+    return url_filter.url_filter(captures, url_filter.sample_list(pages))
+
+
 def op6_shard(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = sharding.external_shuffle(table(spark, sf_dir, "documents").select("doc_id", "text"), 24)
     text = F.coalesce("text", F.lit(""))
@@ -53,5 +59,5 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.line_dedup(table(spark, sf_dir, "documents").select("doc_id", "source", "text"))
 
 
-QUERIES = {f.__name__: f for f in (op1_near_dedup, op2_pack, op3_license_scan, op4_decontaminate, op6_shard, op7_substring_dedup, op8_quality, op9_nearest, op10_line_dedup)}
-ORACLE_SQL = {"op10_line_dedup": line_dedup.SQL}
+QUERIES = {f.__name__: f for f in (op1_near_dedup, op2_pack, op3_license_scan, op4_decontaminate, op5_url_filter, op6_shard, op7_substring_dedup, op8_quality, op9_nearest, op10_line_dedup)}
+ORACLE_SQL = {"op5_url_filter": url_filter.SQL, "op10_line_dedup": line_dedup.SQL}

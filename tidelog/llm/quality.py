@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import zlib
 from collections.abc import Iterator
 from functools import partial
 
@@ -12,37 +11,71 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidelog.llm.common import Memo
+from tidelog.llm.common import mix64
 
-BUCKETS, DIM = 1 << 16, 12
-MIX = np.uint32(0x85EBCA6B)
+BITS, DIM = 16, 12
+BUCKETS = 1 << BITS
+STEP = np.uint64(0x9E3779B97F4A7C15)
+BLANK = np.uint64(32)
 
 
-def word_features(word: str, buckets: int = BUCKETS) -> tuple[int, np.ndarray]:
-    """A word's own hash, and the buckets of the word and of its character 3- to 5-grams."""
-    raw = f"<{word}>"
-    own = zlib.crc32(raw.encode())
-    grams = [zlib.crc32(raw[i : i + n].encode(), n) for n in (3, 4, 5) for i in range(len(raw) - n + 1)] if len(raw) <= 64 else []
-    return own, np.array([own, *grams], np.uint32) % np.uint32(buckets)
+def _bucket(hashes: np.ndarray) -> np.ndarray:
+    return (mix64(hashes) >> np.uint64(64 - BITS)).astype(np.int32)
 
 
-def pair_buckets(own: np.ndarray, buckets: int = BUCKETS) -> np.ndarray:
-    """Buckets of the word pairs."""
-    return ((own[:-1] * MIX) ^ (own[1:] + (own[:-1] >> np.uint32(15)))) % np.uint32(buckets)
+def features(texts: list[str]) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Hashed features of texts: for each kind (words, pairs of words, 3-, 4- and 5-grams of characters) the buckets, in text
+    order, and where each text's begin (one more than there are texts).
 
-
-def text_features(text: str, memo: Memo) -> tuple[np.ndarray, np.ndarray]:
-    """All hashed features of a whole text, as distinct buckets and counts."""
-    words = text.split()
-    if not words:
-        return np.zeros(0, np.int64), np.zeros(0, np.float32)
-    got = [memo[w] for w in words]
-    own = np.array([g[0] for g in got], np.uint32)
-    found, counts = np.unique(np.concatenate([g[1] for g in got] + [pair_buckets(own)]), return_counts=True)
-    return found.astype(np.int64), counts.astype(np.float32)
-
-
-def train(docs: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, buckets: int = BUCKETS, dim: int = DIM, epochs: int = 6, rate: float = 0.5, seed: int = 3) -> tuple[np.ndarray, float]:
+    Words stand between blanks; a gram lies in a word or takes the blank before or after it along.
+    """
+    codes = np.frombuffer(" ".join(["", *texts, ""]).encode("utf-32-le", "surrogatepass"), "<u4").astype(np.uint64)
+    gap = (codes == BLANK) | ((codes >= np.uint64(9)) & (codes <= np.uint64(13)))
+    codes[gap] = BLANK
+    begin = np.concatenate([[0], np.cumsum([len(t) + 1 for t in texts])])  # of the blank before each text
+    edge = np.flatnonzero(gap[1:] != gap[:-1]) + 1
+    start, end = edge[0::2], edge[1::2]
+    out = []
+    blanks = np.concatenate([[0], np.cumsum(gap)])
+    grams = codes * STEP + codes
+    for n in (2, 3, 4, 5):
+        if len(codes) < n:
+            grams = grams[:0]
+        else:
+            grams = grams[: len(codes) - n + 1] * STEP + codes[n - 1 :]
+        if n > 2:
+            at = np.arange(len(grams))
+            inner = np.flatnonzero(blanks[at + n - 1] == blanks[at + 1])
+            out.append((_bucket(grams[inner] + np.uint64(n)), np.searchsorted(inner, begin)))
+    # A word's hash is a sum over its characters and places in it.
+    if len(start):
+        of = np.repeat(np.arange(len(start)), end - start)
+        letters = np.flatnonzero(~gap)
+        inside = (letters - start[of]).astype(np.uint64)
+        words = np.add.reduceat(mix64(codes[letters] + (inside << np.uint64(24))), np.concatenate([[0], np.cumsum(end - start)[:-1]]))
+    else:
+        words = np.zeros(0, np.uint64)
+    first = np.searchsorted(start, begin)
+    pairs = words[:-1] * STEP + words[1:]
+    same = np.ones(max(0, len(words) - 1), bool)
+    cut = first[1:-1] - 1
+    same[cut[(cut >= 0) & (cut < len(same))]] = False
+    kept = np.flatnonzero(same)
+    return [(_bucket(words), first), (_bucket(pairs[kept]), np.searchsorted(kept, first)), *out]
+
+
+def chunks(texts: list[str], most: int = 1 << 20) -> Iterator[tuple[int, int]]:
+    lo = held = 0
+    for i, t in enumerate(texts):
+        if i > lo and held + len(t) > most:
+            yield lo, i
+            lo, held = i, 0
+        held += len(t)
+    if lo < len(texts):
+        yield lo, len(texts)
+
+
+def train(docs: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, buckets: int = BUCKETS, dim: int = DIM, epochs: int = 5, rate: float = 0.5, seed: int = 3) -> tuple[np.ndarray, float]:
     """Stochastic gradient descent on a softmax over averaged vectors.
 
     As the output is linear in the averaged vectors, the model is handed back as one number for each bucket and a constant:
@@ -72,17 +105,18 @@ def train(docs: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, buckets
 
 
 def _train_all(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    memo = Memo(word_features)
     rows: list[tuple] = []
     for b in batches:
         for key, label, text in zip(*(c.to_pylist() for c in b.columns), strict=True):
-            rows.append((key, label, text_features(text or "", memo)))
+            buckets = np.concatenate([f for f, _ in features([text or ""])])
+            found, n = np.unique(buckets, return_counts=True)
+            rows.append((key, label, (found.astype(np.int64), n.astype(np.float32))))
     rows.sort(key=lambda r: (r[0], r[1]))  # the exchange hands rows over in any order
     weights, bias = train([r[2] for r in rows], np.array([r[1] for r in rows], np.int64))
     yield pa.RecordBatch.from_arrays([pa.array([weights.tobytes()], pa.binary()), pa.array([bias])], names=["weights", "bias"])
 
 
-def fit(docs: DataFrame, labels: DataFrame, sample: int = 4000, max_bytes: int = 60_000, key: str = "doc_id", text: str = "text", label: str = "quality", fold: int | None = 5) -> tuple[np.ndarray, float]:
+def fit(docs: DataFrame, labels: DataFrame, sample: int = 3000, max_bytes: int = 60_000, key: str = "doc_id", text: str = "text", label: str = "quality", fold: int | None = 5) -> tuple[np.ndarray, float]:
     """Fit on at most `sample` labelled rows, the first in the order of a hash of the key.
 
     Rows with crc32(key as text) mod `fold` = 0 are held out. Rows without a key or a label of 0 or 1 teach nothing, nor do
@@ -101,27 +135,20 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = 4000, max_bytes: int =
 
 def _score(batches: Iterator[pa.RecordBatch], model: tuple[np.ndarray, float], threshold: float, name: tuple[str, str]) -> Iterator[pa.RecordBatch]:
     weights, bias = model
-
-    def of_word(word: str) -> tuple[int, float, int]:
-        own, at = word_features(word)
-        return own, float(weights[at].sum(dtype=np.float64)), len(at)
-
-    memo = Memo(of_word)
-    get = memo.__getitem__
+    weights = weights.astype(np.float64)
     for batch in batches:
-        scores = []
-        for value in batch.column(batch.num_columns - 1):
-            words = (value.as_py() or "").split()
-            odds = bias
-            if words:
-                own, sums, n = zip(*map(get, words), strict=True)
-                total, count = sum(sums), sum(n)
-                if len(words) > 1:
-                    pairs = pair_buckets(np.array(own, np.uint32))
-                    total, count = total + float(weights[pairs].sum(dtype=np.float64)), count + len(pairs)
-                odds += total / count
-            scores.append(1 / (1 + np.exp(-np.clip(odds, -60, 60))))
-        scores = np.array(scores, np.float64)
+        texts = [v.as_py() or "" for v in batch.column(batch.num_columns - 1)]
+        odds = np.full(len(texts), bias)
+        for lo, hi in chunks(texts):
+            total, count = np.zeros(hi - lo), np.zeros(hi - lo)
+            for buckets, first in features(texts[lo:hi]):
+                n = np.diff(first[: hi - lo + 1])
+                some = n > 0
+                if some.any():
+                    total[some] += np.add.reduceat(weights[buckets], first[: hi - lo][some])
+                count += n
+            odds[lo:hi] += total / np.maximum(count, 1)
+        scores = 1 / (1 + np.exp(-np.clip(odds, -60, 60)))
         yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(scores), pa.array((scores >= threshold).astype(np.int32))], names=[*batch.schema.names[:-1], *name])
 
 

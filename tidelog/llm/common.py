@@ -57,14 +57,18 @@ def mix64(x: np.ndarray) -> np.ndarray:
 
 
 class Memo(dict):
-    """A bounded memo of a pure function: it starts afresh when full, so memory is fixed and results are not affected."""
+    """A bounded memo of a pure function: when full, what was not asked for lately goes, so memory is fixed and results are not affected."""
 
     def __init__(self, fn, most: int = 300_000):
         super().__init__()
-        self.fn, self.most = fn, most
+        self.fn, self.most, self.old = fn, most, {}
 
     def __missing__(self, key):
         if len(self) >= self.most:
+            self.old = dict(self)
             self.clear()
-        value = self[key] = self.fn(key)
+        value = self.old.get(key)
+        if value is None:
+            value = self.fn(key)
+        self[key] = value
         return value

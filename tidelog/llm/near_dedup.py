@@ -160,7 +160,7 @@ def _sign(batches: Iterator[pa.RecordBatch], idf: np.ndarray, text: str) -> Iter
                 signed, samples = sampler.sample(of, hashes, weights(hashes, times, idf))
                 for k, row in zip(signed, bands(samples), strict=True):
                     found[lo + k] = row
-        node = np.array([xxhash.xxh3_64_intdigest(t) for t in texts], np.uint64).view(np.int64)
+        node = np.array([xxhash.xxh3_64_intdigest(t if t.strip() else b"") for t in texts], np.uint64).view(np.int64)
         rest = [(f.name, batch.column(i)) for i, f in enumerate(batch.schema) if f.name != text]
         packed = [pack(t) if ok else None for ok, t in zip(batch.column(text).is_valid().to_pylist(), texts, strict=True)]
         own = [pa.array((part << 33) + np.arange(n, n + len(texts))), pa.array(node), pa.array(packed, pa.binary()), pa.array(found, pa.list_(pa.int64()))]

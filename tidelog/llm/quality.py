@@ -130,6 +130,8 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = 3000, max_bytes: int =
     texts = docs.select(F.col(key).alias("key"), F.col(text).alias("text")).where(F.octet_length("text") <= max_bytes)
     taught = texts.join(F.broadcast(chosen), "key").dropDuplicates(["key", "label"]).select("key", "label", "text")
     row = taught.coalesce(1).mapInArrow(_train_all, "weights binary, bias double").first()
+    if row is None:
+        return np.zeros(BUCKETS, np.float32), 0.0
     return np.frombuffer(bytes(row["weights"]), np.float32), row["bias"]
 
 

@@ -28,16 +28,23 @@ def token_bytes(tokenizer_path: str) -> Memo:
     punctuation after them are separate words, and letters are lower-cased, which saves many encodings.
     """
     from tokenizers import Tokenizer
+    from tokenizers.pre_tokenizers import ByteLevel
 
-    encode = Tokenizer.from_file(tokenizer_path).encode
+    tokenizer = Tokenizer.from_file(tokenizer_path)
+    encode, merge, spell = tokenizer.encode, tokenizer.model.tokenize, ByteLevel(add_prefix_space=False, use_regex=False).pre_tokenize_str
 
     def ids(chunk: str) -> bytes:
-        if chunk.isascii():
-            if chunk[-1:] in (",", ".") and chunk[:-1].isalpha():
-                return memo[chunk[:-1]] + memo[chunk[-1]]
-            if chunk.isalpha() and not chunk.islower():
-                return memo[chunk.lower()]
-        return np.array(encode(chunk, add_special_tokens=False).ids, "<u4").tobytes()
+        if chunk[-1:] in (",", ".") and chunk[:-1].isalpha():
+            return memo[chunk[:-1]] + memo[chunk[-1]]
+        if chunk.isalpha() and max(chunk) < "\u0100":
+            # Letters up to Latin-1 are one word, and lower-casing is all that normalising does to them.
+            word = chunk.lower()
+            if word != chunk:
+                return memo[word]
+            found = [t.id for t in merge(word if word.isascii() else spell(word)[0][0])]
+        else:
+            found = encode(chunk, add_special_tokens=False).ids
+        return np.array(found, "<u4").tobytes()
 
     memo = Memo(ids, 400_000)
     return memo

@@ -94,6 +94,17 @@ def masks(words: list[int]) -> dict:
     return out
 
 
+def _slot(hashes: np.ndarray) -> np.ndarray:
+    return (hashes % np.uint64(FILTER)).astype(np.int64)
+
+
+def _ahead(has: np.ndarray, at: np.ndarray, span: int) -> np.ndarray:
+    """How many of the `span` flags from each place on are set."""
+    upto = np.zeros(len(has) + 1, np.int32)
+    np.cumsum(has, out=upto[1:])
+    return upto[np.minimum(at + span, len(has))] - upto[at]
+
+
 class Index:
     """The benchmark items of one slice: their keys, their word pairs, and what verification needs."""
 
@@ -106,10 +117,13 @@ class Index:
         self.share = share
         self.words = {int(k): block.word[block.first[k] : block.first[k + 1]].tolist() for k in self.chosen}
         self.sizes = np.unique(sizes[self.chosen])
-        self.pairs = np.zeros(FILTER, bool)
+        # Which runs of two and three words the items hold, a bit for each size of item (or each 64th).
+        self.grams = {q: np.zeros(FILTER, np.uint64) for q in (2, 3)}
         if len(self.chosen):
-            two = block.windows(2)[block.inside(2)]
-            self.pairs[(two % np.uint64(FILTER)).astype(np.int64)] = True
+            bit = np.repeat(np.uint64(1) << (np.searchsorted(self.sizes, sizes) % 64).astype(np.uint64), sizes)
+            for q, table in self.grams.items():
+                at = np.flatnonzero(block.inside(q) & np.isin(np.repeat(sizes, sizes)[: len(block.inside(q))], self.sizes))
+                np.bitwise_or.at(table, _slot(block.windows(q)[at]), bit[at])
             keys = embed(block.word, block.first[:-1][self.chosen], sizes[self.chosen], self.repeats)
             order = np.argsort(keys, axis=None)
             self.keys = keys.ravel()[order]
@@ -117,30 +131,47 @@ class Index:
         self.forward = {k: masks(w) for k, w in self.words.items()}
         self.backward = {k: masks(w[::-1]) for k, w in self.words.items()}
 
-    def need(self, size: int) -> int:
-        """Word pairs of the item that a window must hold: each edit spoils two, and as many may lie beyond the window."""
-        return max(0, size - 1 - 3 * edits(int(size), self.share))
+    def need(self, size: int, q: int) -> int:
+        """Runs of q words that an item shares with any text within the allowed edits: each edit spoils q."""
+        return size - q + 1 - q * edits(int(size), self.share)
 
     def windows(self, block: Block) -> tuple[np.ndarray, np.ndarray]:
-        """(start, size) of the item-sized windows that hold enough of the benchmark's word pairs."""
+        """(start, size) of the item-sized windows after which enough word pairs and triples of items of that size follow.
+
+        A text within k edits of an item of s words has s + k words at most, so the runs are counted that far.
+        """
         n = len(block.word)
-        if n < 2 or not len(self.sizes):
+        if n < 3 or not len(self.sizes):
             return np.zeros(0, np.int64), np.zeros(0, np.int64)
-        known = self.pairs[(block.windows(2) % np.uint64(FILTER)).astype(np.int64)] & block.inside(2)
-        before = np.zeros(n, np.int32)
-        np.cumsum(known, out=before[1:])
-        least, most = min(map(self.need, self.sizes)), int(self.sizes.max())
-        every = np.arange(n)
-        rough = every[before[np.minimum(every + most, n - 1)] - before >= least]
-        starts, sizes = [], []
+        masks = {}
+        for q, table in self.grams.items():
+            masks[q] = np.zeros(n, np.uint64)
+            masks[q][: n - q + 1] = np.where(block.inside(q), table[_slot(block.windows(q))], np.uint64(0))
+        most = int(self.sizes.max())
+        reach = most + edits(most, self.share)
+        # First with the runs of all sizes together, then by size in what is left.
+        rough = np.ones(n, bool)
+        for q in masks:
+            rough &= _ahead(masks[q] != 0, np.arange(n), reach) >= min(self.need(int(s), q) for s in self.sizes)
+        starts = np.flatnonzero(rough)
+        edge = np.zeros(n + 1, np.int64)
+        edge[starts] += 1
+        np.subtract.at(edge, np.minimum(starts + reach, n), 1)
+        near = np.flatnonzero(np.cumsum(edge)[:n] > 0)
+        masks = {q: m[near] for q, m in masks.items()}
+        place = np.searchsorted(near, starts)
         end = np.repeat(block.first[1:], np.diff(block.first))
-        for size in self.sizes:
-            k = edits(int(size), self.share)
-            stop = np.minimum(rough + size - 1, n - 1)
-            good = rough[(before[stop] - before[rough] >= self.need(size)) & (end[rough] - rough >= size - k)]
-            starts.append(good)
-            sizes.append(np.full(len(good), size))
-        return np.concatenate(starts), np.concatenate(sizes)
+        left = end[starts] - starts
+        found, sizes = [], []
+        for i, size in enumerate(map(int, self.sizes)):
+            k = edits(size, self.share)
+            good = left >= size - k
+            for q, m in masks.items():
+                has = (m >> np.uint64(i % 64)) & np.uint64(1) != 0
+                good &= _ahead(has, place, size + k - q + 1) >= self.need(size, q)
+            found.append(starts[good])
+            sizes.append(np.full(int(good.sum()), size))
+        return np.concatenate(found), np.concatenate(sizes)
 
     def hits(self, block: Block) -> list[tuple[int, int, int, int, int]]:
         """(text, item, first word, word after the last, distance) for each place of an item in a text."""
@@ -221,7 +252,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text:
     Words are runs of letters and digits, A-Z read as a-z. A place counts if the edit distance in words is at most
     `share` of the item's words (rounded down). Windows as long as an item are embedded with CGK walks and looked up by
     sampled places of the embedding; the number of embeddings is what reaches `recall` at the largest distance, by trial.
-    Windows that hold too few of the benchmark's word pairs for the allowed edits are not embedded, which loses nothing.
+    Windows with too few of the benchmark's word pairs and triples for the allowed edits are not embedded, which loses nothing.
     What is looked up is verified exactly with Myers' algorithm. Items below `min_words` words are no evidence and are left out.
 
     Whole texts are streamed, without a shuffle; items travel with the tasks in slices of `slice_bytes`, one pass each, so

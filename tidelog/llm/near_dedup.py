@@ -21,7 +21,7 @@ FEATURES = 1 << 18
 #: Inverse document frequencies run from 1 to 1 + SPREAD. Members of a large group of copies share shingles of high document
 #: frequency and differ in unique ones, so a steep weight would part copies that are alike.
 SPREAD = 0.25
-BANDS, ROWS = 16, 4
+BANDS, ROWS = 21, 3
 SAMPLES = BANDS * ROWS
 #: Random draws are shared by shingles of one class, so that they can be tabled.
 CLASSES = 1 << 14
@@ -51,6 +51,17 @@ def weights(hashes: np.ndarray, times: np.ndarray, idf: np.ndarray) -> np.ndarra
     return (1 + np.log(times)).astype(np.float32) * idf[(hashes % np.uint64(FEATURES)).astype(np.int64)]
 
 
+def verifying(rare: np.ndarray) -> np.ndarray:
+    """Inverse document frequencies for the exact similarity, in steps of 1/32."""
+    return (np.round(32 * (1 + SPREAD * rare)) / 32).astype(np.float32)
+
+
+def sampling(rare: np.ndarray) -> np.ndarray:
+    """Those for signatures: steep, so that passages of a large share of all documents are hardly ever sampled and do not
+    bring unlike documents together. They decide who is compared, not who is alike."""
+    return (np.maximum(1, np.ceil(32 * (rare / max(float(rare.max()), 1e-6)) ** 2)) / 32).astype(np.float32)
+
+
 def _chunks(texts: list[bytes], most: int = 2 << 20) -> Iterator[tuple[int, int]]:
     lo = held = 0
     for i, t in enumerate(texts):
@@ -83,13 +94,12 @@ def _summed(key, rows):
 
 
 def inverse_frequencies(docs: DataFrame, text: str) -> np.ndarray:
-    """1 + SPREAD * ln((1 + n) / (1 + documents with the feature)) / ln(1 + n), in steps of 1/32; FEATURES numbers for any corpus."""
+    """ln((1 + n) / (1 + documents with the feature)) / ln(2 + n), from 0 to 1: FEATURES numbers for any corpus."""
     found = docs.select(F.col(text)).mapInArrow(_frequencies, "part int, counts binary").groupBy("part").applyInArrow(_summed, "part int, counts binary")
     parts = {r["part"]: np.frombuffer(bytes(r["counts"]), np.int64) for r in found.toLocalIterator()}
     n = int(parts[-1][0]) if parts else 0
     counts = np.concatenate([parts[i] for i in range(FEATURES // PART)]) if n else np.zeros(FEATURES)
-    rare = np.log((1 + n) / (1 + counts)) / np.log(2 + n)
-    return (np.round(32 * (1 + SPREAD * rare)) / 32).astype(np.float32)
+    return (np.log((1 + n) / (1 + counts)) / np.log(2 + n)).astype(np.float32)
 
 
 class Sampler:
@@ -145,7 +155,8 @@ def bands(samples: np.ndarray) -> np.ndarray:
 
 
 def _sign(batches: Iterator[pa.RecordBatch], idf: np.ndarray, text: str) -> Iterator[pa.RecordBatch]:
-    """Each row with a number, the hash of its text, the text compressed, and its bands (none without words)."""
+    """Each row with a number, the hash of its text, the text compressed, its bands (none without words), and how rare its
+    shingles are on average: the less, the more of it stands in other documents as well."""
     import xxhash
     from pyspark import TaskContext
 
@@ -154,17 +165,20 @@ def _sign(batches: Iterator[pa.RecordBatch], idf: np.ndarray, text: str) -> Iter
     for batch in batches:
         texts = [(t.as_py() or "").encode() for t in batch.column(text)]
         found: list = [[]] * len(texts)
+        own_share = np.ones(len(texts))
         for lo, hi in _chunks(texts):
             of, hashes, times = shingles(texts[lo:hi])
             if len(of):
-                signed, samples = sampler.sample(of, hashes, weights(hashes, times, idf))
+                weight = weights(hashes, times, idf)
+                signed, samples = sampler.sample(of, hashes, weight)
+                own_share[lo + signed] = np.round(np.bincount(of, weight)[signed] / np.bincount(of, 1 + np.log(times))[signed], 6)
                 for k, row in zip(signed, bands(samples), strict=True):
                     found[lo + k] = row
         node = np.array([xxhash.xxh3_64_intdigest(t if t.strip() else b"") for t in texts], np.uint64).view(np.int64)
         rest = [(f.name, batch.column(i)) for i, f in enumerate(batch.schema) if f.name != text]
         packed = [pack(t) if ok else None for ok, t in zip(batch.column(text).is_valid().to_pylist(), texts, strict=True)]
-        own = [pa.array((part << 33) + np.arange(n, n + len(texts))), pa.array(node), pa.array(packed, pa.binary()), pa.array(found, pa.list_(pa.int64()))]
-        more = list(zip(("__row", "__node", "__packed", "__bands"), own, strict=True))
+        own = [pa.array((part << 33) + np.arange(n, n + len(texts))), pa.array(node), pa.array(packed, pa.binary()), pa.array(found, pa.list_(pa.int64())), pa.array(own_share)]
+        more = list(zip(("__row", "__node", "__packed", "__bands", "__own"), own, strict=True))
         n += len(texts)
         yield pa.RecordBatch.from_arrays([c for _, c in rest + more], names=[c for c, _ in rest + more])
 
@@ -200,6 +214,28 @@ def _verify(batches: Iterator[pa.RecordBatch], idf: np.ndarray, least: float) ->
             yield pa.RecordBatch.from_arrays([pa.array([a[i] for i in good], pa.int64()), pa.array([b[i] for i in good], pa.int64())], names=["a", "b"])
 
 
+def _weighed(batches: Iterator[pa.RecordBatch], idf: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """(node, hash, weight) for each distinct shingle of each text."""
+    unpack = zstandard.ZstdDecompressor().decompress
+    for batch in batches:
+        nodes, texts = batch.column("node").to_numpy(), [unpack(z) for z in batch.column("packed").to_pylist()]
+        for lo, hi in _chunks(texts):
+            of, hashes, times = shingles(texts[lo:hi])
+            yield pa.RecordBatch.from_arrays([pa.array(nodes[lo + of]), pa.array(hashes.view(np.int64)), pa.array(weights(hashes, times, idf).astype(np.float64))], names=["node", "hash", "weight"])
+
+
+def _unable(waiting: DataFrame, crowd: DataFrame, texts: DataFrame, idf: np.ndarray, least: float) -> DataFrame:
+    """Of the nodes `waiting`, those that no node of `crowd` can be alike: too little of their weight stands in any other.
+
+    The similarity of a text to any other is at most the share of its weight in shingles that another one holds.
+    """
+    shape = "node long, hash long, weight double"
+    held = texts.join(crowd, "node", "left_semi").mapInArrow(partial(_weighed, idf=idf), shape).groupBy("hash").agg(F.count("*").alias("n")).where("n > 1")
+    own = texts.join(waiting, "node", "left_semi").mapInArrow(partial(_weighed, idf=idf), shape)
+    shares = own.join(held, "hash", "left").groupBy("node").agg(F.sum("weight").alias("all"), F.sum(F.when(F.col("n").isNotNull(), F.col("weight")).otherwise(0.0)).alias("shared"))
+    return shares.where(F.col("shared") < (least - 1e-6) * F.col("all")).select("node")
+
+
 def components(links: DataFrame, scratch: Scratch) -> DataFrame:
     """(node, comp): the smallest node reachable over `links` (a, b), by alternating large and small stars.
 
@@ -222,13 +258,8 @@ def components(links: DataFrame, scratch: Scratch) -> DataFrame:
         before = state
 
 
-def _pairs(entries: DataFrame, leaders: DataFrame) -> DataFrame:
-    """(a, b) with b a leader of one of a's buckets; copies of a pair meet in distinct()."""
-    return entries.join(leaders, "bucket").where("node <> leader").select(F.greatest("node", "leader").alias("a"), F.least("node", "leader").alias("b")).distinct()
-
-
 def _linked(pairs: DataFrame, texts: DataFrame, idf: np.ndarray, least: float) -> DataFrame:
-    """Verified pairs. A leader with many partners is dealt out over copies of its text, one for 500 partners."""
+    """Verified pairs of a node and a leader. A leader with many partners is dealt out over copies of its text, one for 500 partners."""
     busy = pairs.groupBy("b").agg(F.ceil(F.count("*") / 500).cast("int").alias("copies"))
     dealt = pairs.join(busy, "b").withColumn("salt", F.pmod(F.hash("a"), F.col("copies")))
     copied = busy.join(texts, busy.b == texts.node).select("b", F.col("packed").alias("pb"), F.explode(F.sequence(F.lit(0), F.col("copies") - 1)).alias("salt"))
@@ -241,32 +272,37 @@ class Classes:
 
     def __init__(self, docs: DataFrame, key: str, text: str, least: float):
         self.scratch = scratch = Scratch(docs.sparkSession)
-        idf = inverse_frequencies(docs, text)
+        rare = inverse_frequencies(docs, text)
+        idf = verifying(rare)
         fields = [f for f in docs.schema.fields if f.name != text]
-        own = [T.StructField("__row", T.LongType()), T.StructField("__node", T.LongType()), T.StructField("__packed", T.BinaryType()), T.StructField("__bands", T.ArrayType(T.LongType()))]
-        self.rows = rows = scratch.settle(docs.mapInArrow(partial(_sign, idf=idf, text=text), T.StructType(fields + own)))
-        marks = rows.select(F.col("__node").alias("node"), F.explode("__bands").alias("bucket")).distinct()
-        shared = marks.groupBy("bucket").agg(F.count("*").alias("n"), F.min("node").alias("leader")).where("n > 1").select("bucket", "leader")
+        own = [T.StructField("__row", T.LongType()), T.StructField("__node", T.LongType()), T.StructField("__packed", T.BinaryType()), T.StructField("__bands", T.ArrayType(T.LongType())), T.StructField("__own", T.DoubleType())]
+        self.rows = rows = scratch.settle(docs.mapInArrow(partial(_sign, idf=sampling(rare), text=text), T.StructType(fields + own)))
+        marks = rows.select(F.col("__node").alias("node"), F.col("__own").alias("own"), F.explode("__bands").alias("bucket")).groupBy("bucket", "node").agg(F.min("own").alias("own"))
+        # A bucket's leader is the text with the least of its own: in a group of near copies, the one that the others vary.
+        shared = marks.groupBy("bucket").agg(F.count("*").alias("n"), F.min(F.struct("own", "node")).alias("first")).where("n > 1").select("bucket", F.col("first.node").alias("leader"))
         entries = scratch.settle(marks.join(shared, "bucket"))
         members = entries.select("node").distinct()
         texts = scratch.settle(rows.select(F.col("__node").alias("node"), F.col("__packed").alias("packed")).join(members, "node").groupBy("node").agg(F.min("packed").alias("packed")))
         links = scratch.settle(_linked(entries.where("node <> leader").select(F.col("node").alias("a"), F.col("leader").alias("b")).distinct(), texts, idf, least))
         comps = components(links, scratch)
-        led, most = None, 1
+        led, most, unable = None, 1, None
         while True:
             # Buckets that still hold several components: their nodes outside the largest one must meet every other node.
-            placed = entries.select("bucket", "node").join(comps, "node", "left").select("bucket", "node", F.coalesce("comp", "node").alias("comp"))
+            placed = entries.select("bucket", "node", "own").join(comps, "node", "left").select("bucket", "node", "own", F.coalesce("comp", "node").alias("comp"))
             sizes = placed.groupBy("bucket", "comp").agg(F.count("*").alias("n"))
             mixed = sizes.groupBy("bucket").agg(F.max_by("comp", F.struct("n", "comp")).alias("main"), F.sum("n").alias("all"), F.count("*").alias("comps")).where("comps > 1 AND all > 2")
-            waiting = placed.join(mixed, "bucket").where("comp <> main").select("bucket", "node", "comp")
+            waiting = placed.join(mixed, "bucket").where("comp <> main").select("bucket", "node", "own", "comp")
             # The bucket's first leader has met all others already.
             tried = entries.select("bucket", F.col("leader").alias("node")).distinct()
             waiting = waiting.join(tried if led is None else tried.union(led), ["bucket", "node"], "left_anti")
-            turn = F.row_number().over(Window.partitionBy("bucket").orderBy("node"))
-            leaders = scratch.settle(waiting.withColumn("turn", turn).where(F.col("turn") <= most).select("bucket", F.col("node").alias("leader"), F.col("comp").alias("own")))
+            if unable is None:
+                unable = scratch.settle(_unable(waiting.select("node").distinct(), placed.join(mixed, "bucket", "left_semi").select("node").distinct(), texts, idf, least))
+            waiting = waiting.join(unable, "node", "left_anti")
+            turn = F.row_number().over(Window.partitionBy("bucket").orderBy("own", "node"))
+            leaders = scratch.settle(waiting.withColumn("turn", turn).where(F.col("turn") <= most).select("bucket", F.col("node").alias("leader"), F.col("comp").alias("side")))
             if leaders.isEmpty():
                 break
-            pairs = placed.join(leaders, "bucket").where("comp <> own").select(F.greatest("node", "leader").alias("a"), F.least("node", "leader").alias("b")).distinct()
+            pairs = placed.join(unable, "node", "left_anti").join(leaders, "bucket").where("comp <> side").select(F.col("node").alias("a"), F.col("leader").alias("b")).distinct()
             more = scratch.settle(_linked(pairs, texts, idf, least))
             if not more.isEmpty():
                 comps = components(comps.select(F.col("node").alias("a"), F.col("comp").alias("b")).union(more), scratch)
@@ -283,12 +319,14 @@ def near_classes(docs: DataFrame, key: str = "doc_id", text: str = "text", least
     """key, class_id, class_size, kept for every row: classes of documents linked by a weighted Jaccard similarity of `least`.
 
     Shingles are five words between blanks, A-Z read as a-z; a text of one to four words is one shingle. A shingle's weight is
-    1 + ln(count) times an inverse document frequency (1 to 1.25) over all documents, kept for 2**18 hashed features. Signatures are consistent
-    weighted samples of the weights, 16 bands of 4: a pair at 0.8 shares a band with a chance of 0.9998. Copies of one text
+    1 + ln(count) times an inverse document frequency (1 to 1.25) over all documents, kept for 2**18 hashed features. Signatures are 21 bands
+    of 3 consistent weighted samples, drawn with a steeper inverse document frequency: two copies at 0.8 whose shingles are
+    rare elsewhere share a band with a chance above 0.9999, and with one of 0.98 where 5 % of all documents hold the text. Copies of one text
     are one node. Candidates are not expanded into all pairs: in each bucket every node meets a leader; where the bucket still
     holds several components, the nodes outside its largest one lead in turn until none is left, so every two nodes of one
     bucket end up in one component or have been compared. Links are verified on the texts; classes are their components,
-    named by their smallest key.
+    named by their smallest key. Before that, nodes are set aside that cannot be alike any other of their buckets, as too
+    little of their weight stands in any: an exact bound, which saves the comparisons of a large group's outliers.
 
     Null texts count as empty; texts without words are alike. Null keys: the row takes part, and names no class unless the
     whole class has null keys. One row of each class is `kept`: the smallest key, then the first row. Repeated rows are copies.
@@ -309,5 +347,5 @@ def near_dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", least:
     """The rows of `docs` that stand for their near-duplicate class, all columns unchanged; see near_classes."""
     found = Classes(docs, key, text, least)
     stay = found.placed.where("kept").select(F.col("row").alias("__row"))
-    rows = found.rows.drop("__node", "__bands").join(stay, "__row", "left_semi")
+    rows = found.rows.drop("__node", "__bands", "__own").join(stay, "__row", "left_semi")
     return rows.mapInArrow(partial(_unpacked, text=text, names=docs.columns), docs.schema)

@@ -239,6 +239,17 @@ def test_a_chain_in_one_bucket_is_one_class(spark):
     assert len({r["class_id"] for r in got}) == len(set(want))
 
 
+def test_near_copies_of_a_text_that_a_third_of_all_rows_hold(spark):
+    """How common a text is does not decide whether its near copies are found."""
+    base = words(200, 70)
+    rows = [(i, " ".join(base)) for i in range(40)] + [(40 + i, " ".join(base[:184] + words(16, 71 + i))) for i in range(8)]
+    rows += [(100 + i, " ".join(words(40, 200 + i))) for i in range(72)]
+    want, sims = plain_classes(rows)
+    assert len({want[i] for i in range(48)}) == 1 and all(0.8 <= sims[0, i] < 0.84 for i in range(40, 48))
+    got = {r["doc_id"]: r["class_id"] for r in near_dedup.near_classes(docs(spark, rows)).collect()}
+    assert {got[i] for i in range(48)} == {0} and len(set(got.values())) == 73
+
+
 def test_near_dedup_of_hard_rows(spark):
     df = hard(spark)
     found = near_dedup.near_classes(df).collect()

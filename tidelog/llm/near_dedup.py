@@ -8,7 +8,7 @@ from functools import partial
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -52,16 +52,10 @@ def weights(hashes: np.ndarray, times: np.ndarray, idf: np.ndarray) -> np.ndarra
 
 
 def verifying(rare: np.ndarray) -> np.ndarray:
-    """Inverse document frequencies for the exact similarity, in steps of 1/32."""
+    """Inverse document frequencies for the similarity and for signatures alike, in steps of 1/32."""
     return (np.round(32 * (1 + SPREAD * rare)) / 32).astype(np.float32)
 
 
-def sampling(rare: np.ndarray) -> np.ndarray:
-    """Those for signatures: steep, so that passages of a large share of all documents are hardly ever sampled and do not
-    bring unlike documents together. They decide who is compared, not who is alike."""
-    return (np.maximum(1, np.ceil(32 * (rare / max(float(rare.max()), 1e-6)) ** 2)) / 32).astype(np.float32)
-
-
 def _chunks(texts: list[bytes], most: int = 2 << 20) -> Iterator[tuple[int, int]]:
     lo = held = 0
     for i, t in enumerate(texts):
@@ -155,8 +149,8 @@ def bands(samples: np.ndarray) -> np.ndarray:
 
 
 def _sign(batches: Iterator[pa.RecordBatch], idf: np.ndarray, text: str) -> Iterator[pa.RecordBatch]:
-    """Each row with a number, the hash of its text, the text compressed, its bands (none without words), and how rare its
-    shingles are on average: the less, the more of it stands in other documents as well."""
+    """Each row with a number, the hash of its text, the text compressed, its bands (none without words), how rare its
+    shingles are on average (the less, the more of it stands in other documents as well), and their weight in all."""
     import xxhash
     from pyspark import TaskContext
 
@@ -165,20 +159,21 @@ def _sign(batches: Iterator[pa.RecordBatch], idf: np.ndarray, text: str) -> Iter
     for batch in batches:
         texts = [(t.as_py() or "").encode() for t in batch.column(text)]
         found: list = [[]] * len(texts)
-        own_share = np.ones(len(texts))
+        own_share, heavy = np.ones(len(texts)), np.zeros(len(texts))
         for lo, hi in _chunks(texts):
             of, hashes, times = shingles(texts[lo:hi])
             if len(of):
                 weight = weights(hashes, times, idf)
                 signed, samples = sampler.sample(of, hashes, weight)
-                own_share[lo + signed] = np.round(np.bincount(of, weight)[signed] / np.bincount(of, 1 + np.log(times))[signed], 6)
+                heavy[lo + signed] = np.bincount(of, weight)[signed]
+                own_share[lo + signed] = np.round(heavy[lo + signed] / np.bincount(of, 1 + np.log(times))[signed], 6)
                 for k, row in zip(signed, bands(samples), strict=True):
                     found[lo + k] = row
         node = np.array([xxhash.xxh3_64_intdigest(t if t.strip() else b"") for t in texts], np.uint64).view(np.int64)
         rest = [(f.name, batch.column(i)) for i, f in enumerate(batch.schema) if f.name != text]
         packed = [pack(t) if ok else None for ok, t in zip(batch.column(text).is_valid().to_pylist(), texts, strict=True)]
-        own = [pa.array((part << 33) + np.arange(n, n + len(texts))), pa.array(node), pa.array(packed, pa.binary()), pa.array(found, pa.list_(pa.int64())), pa.array(own_share)]
-        more = list(zip(("__row", "__node", "__packed", "__bands", "__own"), own, strict=True))
+        own = [pa.array((part << 33) + np.arange(n, n + len(texts))), pa.array(node), pa.array(packed, pa.binary()), pa.array(found, pa.list_(pa.int64())), pa.array(own_share), pa.array(heavy)]
+        more = list(zip(("__row", "__node", "__packed", "__bands", "__own", "__weight"), own, strict=True))
         n += len(texts)
         yield pa.RecordBatch.from_arrays([c for _, c in rest + more], names=[c for c, _ in rest + more])
 
@@ -224,16 +219,21 @@ def _weighed(batches: Iterator[pa.RecordBatch], idf: np.ndarray) -> Iterator[pa.
             yield pa.RecordBatch.from_arrays([pa.array(nodes[lo + of]), pa.array(hashes.view(np.int64)), pa.array(weights(hashes, times, idf).astype(np.float64))], names=["node", "hash", "weight"])
 
 
-def _unable(waiting: DataFrame, crowd: DataFrame, texts: DataFrame, idf: np.ndarray, least: float) -> DataFrame:
-    """Of the nodes `waiting`, those that no node of `crowd` can be alike: too little of their weight stands in any other.
+def _able(crowd: DataFrame, texts: DataFrame, idf: np.ndarray, least: float) -> DataFrame:
+    """node, weight, shared: of the nodes `crowd`, those that another one of them may be alike, with their weight and how much
+    of it stands in shingles that another one holds.
 
-    The similarity of a text to any other is at most the share of its weight in shingles that another one holds.
+    What two texts have in common weighs at most the smaller of their shares, so the others are alike none.
     """
-    shape = "node long, hash long, weight double"
-    held = texts.join(crowd, "node", "left_semi").mapInArrow(partial(_weighed, idf=idf), shape).groupBy("hash").agg(F.count("*").alias("n")).where("n > 1")
-    own = texts.join(waiting, "node", "left_semi").mapInArrow(partial(_weighed, idf=idf), shape)
-    shares = own.join(held, "hash", "left").groupBy("node").agg(F.sum("weight").alias("all"), F.sum(F.when(F.col("n").isNotNull(), F.col("weight")).otherwise(0.0)).alias("shared"))
-    return shares.where(F.col("shared") < (least - 1e-6) * F.col("all")).select("node")
+    own = texts.join(crowd, "node", "left_semi").mapInArrow(partial(_weighed, idf=idf), "node long, hash long, weight double")
+    held = own.groupBy("hash").agg(F.count("*").alias("n")).where("n > 1")
+    shares = own.join(held, "hash", "left").groupBy("node").agg(F.sum("weight").alias("weight"), F.sum(F.when(F.col("n").isNotNull(), F.col("weight")).otherwise(0.0)).alias("shared"))
+    return shares.where(F.col("shared") >= (least - 1e-6) * F.col("weight"))
+
+
+def _may_link(common: Column, weights: Column, least: float) -> Column:
+    """Whether two texts with at most `common` in common, of the weights `weights` together, can reach the similarity `least`."""
+    return common * (1 + least) >= (least - 1e-6) * weights
 
 
 def components(links: DataFrame, scratch: Scratch) -> DataFrame:
@@ -272,37 +272,39 @@ class Classes:
 
     def __init__(self, docs: DataFrame, key: str, text: str, least: float):
         self.scratch = scratch = Scratch(docs.sparkSession)
-        rare = inverse_frequencies(docs, text)
-        idf = verifying(rare)
+        idf = verifying(inverse_frequencies(docs, text))
         fields = [f for f in docs.schema.fields if f.name != text]
-        own = [T.StructField("__row", T.LongType()), T.StructField("__node", T.LongType()), T.StructField("__packed", T.BinaryType()), T.StructField("__bands", T.ArrayType(T.LongType())), T.StructField("__own", T.DoubleType())]
-        self.rows = rows = scratch.settle(docs.mapInArrow(partial(_sign, idf=sampling(rare), text=text), T.StructType(fields + own)))
-        marks = rows.select(F.col("__node").alias("node"), F.col("__own").alias("own"), F.explode("__bands").alias("bucket")).groupBy("bucket", "node").agg(F.min("own").alias("own"))
+        own = [T.StructField("__row", T.LongType()), T.StructField("__node", T.LongType()), T.StructField("__packed", T.BinaryType()), T.StructField("__bands", T.ArrayType(T.LongType())), T.StructField("__own", T.DoubleType()), T.StructField("__weight", T.DoubleType())]
+        self.rows = rows = scratch.settle(docs.mapInArrow(partial(_sign, idf=idf, text=text), T.StructType(fields + own)))
+        marks = rows.select(F.col("__node").alias("node"), F.col("__own").alias("own"), F.col("__weight").alias("weight"), F.explode("__bands").alias("bucket")).groupBy("bucket", "node").agg(F.min("own").alias("own"), F.min("weight").alias("weight"))
         # A bucket's leader is the text with the least of its own: in a group of near copies, the one that the others vary.
-        shared = marks.groupBy("bucket").agg(F.count("*").alias("n"), F.min(F.struct("own", "node")).alias("first")).where("n > 1").select("bucket", F.col("first.node").alias("leader"))
+        shared = marks.groupBy("bucket").agg(F.count("*").alias("n"), F.min(F.struct("own", "node", "weight")).alias("first")).where("n > 1").select("bucket", F.col("first.node").alias("leader"), F.col("first.weight").alias("most"))
         entries = scratch.settle(marks.join(shared, "bucket"))
         members = entries.select("node").distinct()
         texts = scratch.settle(rows.select(F.col("__node").alias("node"), F.col("__packed").alias("packed")).join(members, "node").groupBy("node").agg(F.min("packed").alias("packed")))
-        links = scratch.settle(_linked(entries.where("node <> leader").select(F.col("node").alias("a"), F.col("leader").alias("b")).distinct(), texts, idf, least))
+        # A text has no more in common with another than the lighter of the two weighs.
+        met = entries.where("node <> leader").where(_may_link(F.least("weight", "most"), F.col("weight") + F.col("most"), least))
+        links = scratch.settle(_linked(met.select(F.col("node").alias("a"), F.col("leader").alias("b")).distinct(), texts, idf, least))
         comps = components(links, scratch)
-        led, most, unable = None, 1, None
+        led, most, able = None, 1, None
         while True:
             # Buckets that still hold several components: their nodes outside the largest one must meet every other node.
             placed = entries.select("bucket", "node", "own").join(comps, "node", "left").select("bucket", "node", "own", F.coalesce("comp", "node").alias("comp"))
             sizes = placed.groupBy("bucket", "comp").agg(F.count("*").alias("n"))
             mixed = sizes.groupBy("bucket").agg(F.max_by("comp", F.struct("n", "comp")).alias("main"), F.sum("n").alias("all"), F.count("*").alias("comps")).where("comps > 1 AND all > 2")
             waiting = placed.join(mixed, "bucket").where("comp <> main").select("bucket", "node", "own", "comp")
-            # The bucket's first leader has met all others already.
+            # The bucket's first leader has met all others already, or is too light or too heavy for them.
             tried = entries.select("bucket", F.col("leader").alias("node")).distinct()
             waiting = waiting.join(tried if led is None else tried.union(led), ["bucket", "node"], "left_anti")
-            if unable is None:
-                unable = scratch.settle(_unable(waiting.select("node").distinct(), placed.join(mixed, "bucket", "left_semi").select("node").distinct(), texts, idf, least))
-            waiting = waiting.join(unable, "node", "left_anti")
+            if able is None:
+                able = scratch.settle(_able(placed.join(mixed, "bucket", "left_semi").select("node").distinct(), texts, idf, least))
+            waiting = waiting.join(able, "node")
             turn = F.row_number().over(Window.partitionBy("bucket").orderBy("own", "node"))
-            leaders = scratch.settle(waiting.withColumn("turn", turn).where(F.col("turn") <= most).select("bucket", F.col("node").alias("leader"), F.col("comp").alias("side")))
+            leaders = scratch.settle(waiting.withColumn("turn", turn).where(F.col("turn") <= most).select("bucket", F.col("node").alias("leader"), F.col("comp").alias("side"), F.col("weight").alias("lw"), F.col("shared").alias("ls")))
             if leaders.isEmpty():
                 break
-            pairs = placed.join(unable, "node", "left_anti").join(leaders, "bucket").where("comp <> side").select(F.col("node").alias("a"), F.col("leader").alias("b")).distinct()
+            may = _may_link(F.least("shared", "ls"), F.col("weight") + F.col("lw"), least)
+            pairs = placed.join(able, "node").join(leaders, "bucket").where(F.col("comp") != F.col("side")).where(may).select(F.col("node").alias("a"), F.col("leader").alias("b")).distinct()
             more = scratch.settle(_linked(pairs, texts, idf, least))
             if not more.isEmpty():
                 comps = components(comps.select(F.col("node").alias("a"), F.col("comp").alias("b")).union(more), scratch)
@@ -320,13 +322,12 @@ def near_classes(docs: DataFrame, key: str = "doc_id", text: str = "text", least
 
     Shingles are five words between blanks, A-Z read as a-z; a text of one to four words is one shingle. A shingle's weight is
     1 + ln(count) times an inverse document frequency (1 to 1.25) over all documents, kept for 2**18 hashed features. Signatures are 21 bands
-    of 3 consistent weighted samples, drawn with a steeper inverse document frequency: two copies at 0.8 whose shingles are
-    rare elsewhere share a band with a chance above 0.9999, and with one of 0.98 where 5 % of all documents hold the text. Copies of one text
-    are one node. Candidates are not expanded into all pairs: in each bucket every node meets a leader; where the bucket still
-    holds several components, the nodes outside its largest one lead in turn until none is left, so every two nodes of one
-    bucket end up in one component or have been compared. Links are verified on the texts; classes are their components,
-    named by their smallest key. Before that, nodes are set aside that cannot be alike any other of their buckets, as too
-    little of their weight stands in any: an exact bound, which saves the comparisons of a large group's outliers.
+    of 3 consistent weighted samples of the same weights: two texts at 0.8 share a band with a chance above 0.9999, whatever share
+    of all documents holds their shingles. Copies of one text are one node. Candidates are not expanded into all pairs: in each
+    bucket every node meets a leader; where the bucket still holds several components, the nodes outside its largest one lead in
+    turn until none is left, so every two nodes of one bucket end up in one component or have been compared. Links are verified
+    on the texts; classes are their components, named by their smallest key. Two exact bounds save comparisons: what two texts
+    have in common weighs at most what the lighter one weighs, and at most what of either stands in any other text of their buckets.
 
     Null texts count as empty; texts without words are alike. Null keys: the row takes part, and names no class unless the
     whole class has null keys. One row of each class is `kept`: the smallest key, then the first row. Repeated rows are copies.
@@ -347,5 +348,5 @@ def near_dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", least:
     """The rows of `docs` that stand for their near-duplicate class, all columns unchanged; see near_classes."""
     found = Classes(docs, key, text, least)
     stay = found.placed.where("kept").select(F.col("row").alias("__row"))
-    rows = found.rows.drop("__node", "__bands", "__own").join(stay, "__row", "left_semi")
+    rows = found.rows.drop("__node", "__bands", "__own", "__weight").join(stay, "__row", "left_semi")
     return rows.mapInArrow(partial(_unpacked, text=text, names=docs.columns), docs.schema)

@@ -326,6 +326,20 @@ def test_leaks_with_edits_are_found(spark):
     assert {r["doc_id"] for r in clean.collect()} == {i for i, _ in rows} - {d for d, _ in found}
 
 
+@pytest.mark.parametrize("kind", ["deletions", "insertions", "substitutions"])
+def test_leaks_of_long_items_at_the_largest_distance_are_all_found(spark, kind):
+    rng = random.Random(kind)
+    items = [(size, " ".join(words(size, size))) for size in (59, 100, 200)]
+    rows = []
+    for i in range(90):
+        leak = items[i % 3][1].split()
+        for at in sorted(rng.sample(range(len(leak)), len(leak) // 5), reverse=True):
+            leak[at : at + 1] = {"deletions": [], "insertions": ["odd1", leak[at]], "substitutions": ["odd1"]}[kind]
+        rows.append((i, " ".join(words(20, 5000 + i) + leak + words(20, 6000 + i))))
+    got = decontaminate.find_leaks(docs(spark, rows), spark.createDataFrame(items, "item_id long, text string")).collect()
+    assert {(r["doc_id"], r["item_id"]) for r in got} == {(i, items[i % 3][0]) for i in range(90)}
+
+
 def test_leaks_on_hard_and_empty_tables(spark):
     bench = spark.createDataFrame([(1, "a b c d e f g h i")], "item_id long, text string")
     df = hard(spark)

@@ -1,9 +1,9 @@
-"""Benchmark decontamination: CGK embedding of item-sized windows, bit-sampling LSH, exact edit verification."""
+"""Benchmark decontamination: shared runs of words pick windows and items without loss, exact edit verification."""
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import lru_cache, partial
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
@@ -11,11 +11,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidelog.llm.common import mix64
 from tidelog.llm.textblock import LOWER, NO_WORD, Block
 
-SAMPLED = 4  # symbols in one LSH key
-KEYS = 8  # keys from one embedding
 FILTER = 1 << 20
 
 
@@ -24,53 +21,6 @@ def edits(size: int, share: float) -> int:
     return int(share * size)
 
 
-def embed(words: np.ndarray, start: np.ndarray, size: np.ndarray, repeats: int, seed: int = 17) -> np.ndarray:
-    """Keys of the windows words[start : start + size], as an array (window, repeats * KEYS).
-
-    The CGK walk: at step j it writes the word it stands on and moves on if a random bit of (j, word) says so; with the same
-    bits, two texts at a small edit distance fall into step again, so their outputs differ in few places. Keys hash SAMPLED
-    of the places written in the first 2 * size steps, the size, and the number of the key.
-    """
-    steps = 2 * int(size.max())
-    odd = mix64(np.arange(repeats, dtype=np.uint64)[:, None] + (np.arange(steps, dtype=np.uint64) << np.uint64(20)) + np.uint64(seed << 50)) | np.uint64(1)
-    shares = np.random.default_rng(seed).random((repeats, KEYS, SAMPLED))
-    out = np.zeros((steps, repeats, len(start)), np.uint64)
-    at = np.zeros((repeats, len(start)), np.int64)
-    for j in range(steps):
-        inside = at < size
-        symbol = np.where(inside, words[np.minimum(start + at, len(words) - 1)], np.uint64(0))
-        out[j] = symbol
-        at += (mix64(symbol * odd[:, j, None]) >> np.uint64(63)).astype(np.int64) & inside
-    keys = np.empty((len(start), repeats * KEYS), np.uint64)
-    each = np.arange(len(start))
-    for r in range(repeats):
-        for z in range(KEYS):
-            key = size.astype(np.uint64) * np.uint64(1 << 20) + np.uint64(r * KEYS + z + 1)
-            for u in shares[r, z]:
-                key = mix64(key * np.uint64(0x100000001B3) + out[(u * 2 * size).astype(np.int64), r, each])
-            keys[:, r * KEYS + z] = key
-    return keys
-
-
-@lru_cache
-def repeats_for(recall: float, share: float, size: int = 30, trials: int = 300) -> int:
-    """Embeddings needed so that a window at the largest allowed distance shares a key with its item with chance `recall`, by trial."""
-    rng = np.random.default_rng(1)
-    most = 24
-    item = rng.integers(1, 1 << 62, size, dtype=np.uint64)
-    texts = []
-    for _ in range(trials):
-        words = list(item)
-        for _ in range(edits(size, share)):
-            i, kind = int(rng.integers(len(words))), int(rng.integers(3))
-            words[i : i + (kind != 2)] = [] if kind == 0 else [np.uint64(rng.integers(1, 1 << 62))]
-        texts.append(np.array((words + list(rng.integers(1, 1 << 62, size)))[:size], np.uint64))
-    own = embed(item, np.array([0]), np.array([size]), most)[0]
-    got = embed(np.concatenate(texts), np.arange(trials) * size, np.full(trials, size), most)
-    hit = (got == own).reshape(trials, most, KEYS).any(2)
-    return next((r for r in range(1, most) if hit[:, :r].any(1).mean() >= recall), most)
-
-
 def search(pattern: dict, size: int, text) -> list[int]:
     """Myers' bit-vectors: for each end in the text, the smallest edit distance of the pattern to a piece that ends there."""
     full, top = (1 << size) - 1, 1 << (size - 1)
@@ -106,14 +56,13 @@ def _ahead(has: np.ndarray, at: np.ndarray, span: int) -> np.ndarray:
 
 
 class Index:
-    """The benchmark items of one slice: their keys, their word pairs, and what verification needs."""
+    """The benchmark items of one slice: their runs of words, which of them hold a run, and what verification needs."""
 
-    def __init__(self, items: list[tuple], share: float, recall: float, min_words: int):
+    def __init__(self, items: list[tuple], share: float, min_words: int):
         block = Block([(t or "").encode() for _, t in items], NO_WORD, LOWER)
         sizes = np.diff(block.first)
         self.ids = [i for i, _ in items]
         self.chosen = np.flatnonzero(sizes >= min_words)
-        self.repeats = repeats_for(recall, share)
         self.share = share
         self.words = {int(k): block.word[block.first[k] : block.first[k + 1]].tolist() for k in self.chosen}
         self.sizes = np.unique(sizes[self.chosen])
@@ -124,12 +73,17 @@ class Index:
             for q, table in self.grams.items():
                 at = np.flatnonzero(block.inside(q) & np.isin(np.repeat(sizes, sizes)[: len(block.inside(q))], self.sizes))
                 np.bitwise_or.at(table, _slot(block.windows(q)[at]), bit[at])
-            keys = embed(block.word, block.first[:-1][self.chosen], sizes[self.chosen], self.repeats)
-            order = np.argsort(keys, axis=None)
-            self.keys = keys.ravel()[order]
-            self.owner = np.repeat(self.chosen, keys.shape[1])[order]
         self.forward = {k: masks(w) for k, w in self.words.items()}
         self.backward = {k: masks(w[::-1]) for k, w in self.words.items()}
+        # For each size, the items of it that hold a run: of the longest runs of which an item shares one with each of its places.
+        of = np.repeat(np.arange(len(block)), sizes)
+        self.holders: dict[int, tuple[int, np.ndarray, np.ndarray]] = {}
+        for size in map(int, self.sizes):
+            q = next(q for q in (3, 2, 1) if self.need(size, q) > 0 or q == 1)
+            at = np.flatnonzero(block.inside(q) & (sizes[of[: len(block.word) - q + 1]] == size))
+            runs, owner = block.windows(q)[at], of[at]
+            order = np.lexsort((owner, runs))
+            self.holders[size] = q, runs[order], owner[order]
 
     def need(self, size: int, q: int) -> int:
         """Runs of q words that an item shares with any text within the allowed edits: each edit spoils q."""
@@ -141,12 +95,12 @@ class Index:
         A text within k edits of an item of s words has s + k words at most, so the runs are counted that far.
         """
         n = len(block.word)
-        if n < 3 or not len(self.sizes):
+        if not n or not len(self.sizes):
             return np.zeros(0, np.int64), np.zeros(0, np.int64)
         masks = {}
         for q, table in self.grams.items():
             masks[q] = np.zeros(n, np.uint64)
-            masks[q][: n - q + 1] = np.where(block.inside(q), table[_slot(block.windows(q))], np.uint64(0))
+            masks[q][: max(0, n - q + 1)] = np.where(block.inside(q), table[_slot(block.windows(q))], np.uint64(0))
         most = int(self.sizes.max())
         reach = most + edits(most, self.share)
         # First with the runs of all sizes together, then by size in what is left.
@@ -175,39 +129,50 @@ class Index:
 
     def hits(self, block: Block) -> list[tuple[int, int, int, int, int]]:
         """(text, item, first word, word after the last, distance) for each place of an item in a text."""
+        out = []
         start, size = self.windows(block)
-        found: set[tuple[int, int]] = set()
-        for lo in range(0, len(start), 4096):
-            keys = embed(block.word, start[lo : lo + 4096], size[lo : lo + 4096], self.repeats)
-            left, right = np.searchsorted(self.keys, keys, "left"), np.searchsorted(self.keys, keys, "right")
-            for w, c in zip(*np.nonzero(left < right), strict=True):
-                found.update((int(self.owner[i]), int(start[lo + w])) for i in range(left[w, c], right[w, c]))
-        return self.verified(block, sorted(found))
-
-    def verified(self, block: Block, found: list[tuple[int, int]]) -> list[tuple[int, int, int, int, int]]:
-        out, at = [], 0
-        while at < len(found):
-            item, lo = found[at]
-            words = self.words[item]
-            size, k = len(words), edits(len(words), self.share)
-            text = int(np.searchsorted(block.first, lo, "right")) - 1
-            last, at = lo, at + 1
-            while at < len(found) and found[at][0] == item and found[at][1] <= last + k + 1 and found[at][1] < block.first[text + 1]:
-                last, at = found[at][1], at + 1
-            # Neighbouring starts are one region; it is searched with room for the edits on either side.
-            lo, hi = max(int(block.first[text]), lo - 2 * k), min(int(block.first[text + 1]), last + size + 2 * k)
-            region = block.word[lo:hi].tolist()
-            while region:
-                scores = search(self.forward[item], size, region)
-                end = min(range(len(scores)), key=lambda i: (scores[i], i))
-                if scores[end] > k:
-                    break
-                back = search(self.backward[item], size, region[end::-1])
-                begin = end - min(range(len(back)), key=lambda i: (back[i], i))
-                out.append((text, item, lo + begin - int(block.first[text]), lo + end + 1 - int(block.first[text]), scores[end]))
-                lo, region = lo + end + 1, region[end + 1 :]
+        if not len(start):
+            return out
+        text = np.searchsorted(block.first, start, "right") - 1
+        # Windows of one size that overlap are one region.
+        cut = np.flatnonzero((size[1:] != size[:-1]) | (text[1:] != text[:-1]) | (start[1:] > start[:-1] + size[1:])) + 1
+        first, last = np.concatenate([[0], cut]), np.append(cut, len(start)) - 1
+        runs: dict[int, np.ndarray] = {}
+        for lo, hi, words, k in zip(start[first].tolist(), start[last].tolist(), size[first].tolist(), text[first].tolist(), strict=True):
+            end = min(hi + words + edits(words, self.share), int(block.first[k + 1]))
+            q, held, owner = self.holders[words]
+            if q not in runs:
+                runs[q] = block.windows(q)
+            mine = runs[q][lo : max(lo, end - q + 1)]
+            left, right = np.searchsorted(held, mine, "left"), np.searchsorted(held, mine, "right")
+            at = np.flatnonzero(left < right)
+            # How many places of the region start a run of the item, each run of a place once for an item.
+            near = np.concatenate([np.unique(owner[left[i] : right[i]]) for i in at]) if len(at) else np.zeros(0, np.int64)
+            items, times = np.unique(near, return_counts=True)
+            if self.need(words, q) <= 0:
+                items, times = np.unique(owner), None
+            for item in (items if times is None else items[times >= self.need(words, q)]).tolist():
+                out += [(k, item, a - int(block.first[k]), b - int(block.first[k]), d) for a, b, d in self.places(block.word[lo:end].tolist(), item, lo)]
         return out
 
+    def places(self, words: list[int], item: int, offset: int) -> list[tuple[int, int, int]]:
+        """(first word, word after the last, distance) of the item's places in a region: the best, then those on either side of it."""
+        size = len(self.words[item])
+        k, out, left = edits(size, self.share), [], [(0, len(words))]
+        while left:
+            lo, hi = left.pop()
+            if hi - lo < size - k:
+                continue
+            scores = search(self.forward[item], size, words[lo:hi])
+            end = lo + min(range(len(scores)), key=lambda i: (scores[i], i))
+            if scores[end - lo] > k:
+                continue
+            back = search(self.backward[item], size, words[lo : end + 1][::-1])
+            begin = end - min(range(len(back)), key=lambda i: (back[i], i))
+            out.append((offset + begin, offset + end + 1, scores[end - lo]))
+            left += [(lo, begin), (end + 1, hi)]
+        return sorted(out)
+
 
 def _scan(batches: Iterator[pa.RecordBatch], items: list[tuple], options: tuple, key: str, text: str, item_type: pa.DataType, clean: bool) -> Iterator[pa.RecordBatch]:
     from tidelog.llm.near_dedup import _chunks
@@ -237,30 +202,30 @@ def _slices(benchmark: DataFrame, item: str, text: str, most: int) -> list[list[
     return [[tuple(r) for r in rows.where(own == i).sort(item, text).collect()] for i in range(n)]
 
 
-def _passes(docs: DataFrame, benchmark: DataFrame, key, text, item, item_text, share, recall, min_words, slice_bytes, clean):
+def _passes(docs: DataFrame, benchmark: DataFrame, key, text, item, item_text, share, min_words, slice_bytes, clean):
     from pyspark.sql.pandas.types import to_arrow_type
 
     kind = benchmark.schema[item].dataType
     schema = docs.schema if clean else T.StructType([T.StructField(key, docs.schema[key].dataType), T.StructField("item_id", kind), T.StructField("first_word", T.LongType()), T.StructField("end_word", T.LongType()), T.StructField("distance", T.IntegerType())])
-    return [(partial(_scan, items=s, options=(share, recall, min_words), key=key, text=text, item_type=to_arrow_type(kind), clean=clean), schema) for s in _slices(benchmark, item, item_text, slice_bytes)]
+    return [(partial(_scan, items=s, options=(share, min_words), key=key, text=text, item_type=to_arrow_type(kind), clean=clean), schema) for s in _slices(benchmark, item, item_text, slice_bytes)]
 
 
 def find_leaks(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text", item: str = "item_id", item_text: str = "text",
-               share: float = 0.2, recall: float = 0.99, min_words: int = 8, slice_bytes: int = 8 << 20) -> DataFrame:
+               share: float = 0.2, min_words: int = 8, slice_bytes: int = 8 << 20) -> DataFrame:
     """key, item_id, first_word, end_word, distance for each place where a text holds a benchmark item with few edits.
 
     Words are runs of letters and digits, A-Z read as a-z. A place counts if the edit distance in words is at most
-    `share` of the item's words (rounded down). Windows as long as an item are embedded with CGK walks and looked up by
-    sampled places of the embedding; the number of embeddings is what reaches `recall` at the largest distance, by trial.
-    Windows with too few of the benchmark's word pairs and triples for the allowed edits are not embedded, which loses nothing.
-    What is looked up is verified exactly with Myers' algorithm. Items below `min_words` words are no evidence and are left out.
+    `share` of the item's words (rounded down). Each edit spoils few of the runs of two and three words that an item shares with
+    a text: windows, and items for them, are picked by the number of shared runs that must be left, which loses nothing, and what
+    is picked is verified exactly with Myers' algorithm. So every text with a place is reported for every item and size.
+    Of places of an item that overlap, the best is given. Items below `min_words` words are no evidence and are left out.
 
     Whole texts are streamed, without a shuffle; items travel with the tasks in slices of `slice_bytes`, one pass each, so
     the benchmark may be of any size. Null and empty texts have no places; null keys stay null; repeated rows give repeated
     places; items that are alike are all reported. An empty table on either side gives no rows.
     """
     docs = docs.select(key, text)
-    parts = [docs.mapInArrow(f, schema) for f, schema in _passes(docs, benchmark, key, text, item, item_text, share, recall, min_words, slice_bytes, False)]
+    parts = [docs.mapInArrow(f, schema) for f, schema in _passes(docs, benchmark, key, text, item, item_text, share, min_words, slice_bytes, False)]
     out = parts[0]
     for more in parts[1:]:
         out = out.unionByName(more)
@@ -268,9 +233,9 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text:
 
 
 def drop_leaks(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text", item: str = "item_id", item_text: str = "text",
-               share: float = 0.2, recall: float = 0.99, min_words: int = 8, slice_bytes: int = 8 << 20) -> DataFrame:
+               share: float = 0.2, min_words: int = 8, slice_bytes: int = 8 << 20) -> DataFrame:
     """The rows whose text holds no benchmark item, all columns unchanged; see find_leaks."""
-    for f, schema in _passes(docs, benchmark, key, text, item, item_text, share, recall, min_words, slice_bytes, True):
+    for f, schema in _passes(docs, benchmark, key, text, item, item_text, share, min_words, slice_bytes, True):
         docs = docs.mapInArrow(f, schema)
     return docs
 

@@ -340,6 +340,14 @@ def test_leaks_of_long_items_at_the_largest_distance_are_all_found(spark, kind):
     assert {(r["doc_id"], r["item_id"]) for r in got} == {(i, items[i % 3][0]) for i in range(90)}
 
 
+def test_exact_copies_of_short_items_are_found(spark):
+    bench = spark.createDataFrame([(1, "Why is it so?"), (2, "two words"), (3, "why is it so"), (4, " ".join(words(20, 3)))], "item_id long, text string")
+    rows = [(1, "he asked: why is it SO, then why is it so"), (2, "why is it"), (3, "so why is that so"), (4, "two"), (5, "words two"), (6, "two, words"), (7, None)]
+    got = decontaminate.find_leaks(docs(spark, rows), bench).collect()
+    assert sorted(tuple(r) for r in got) == [(1, i, a, a + 4, 0) for i in (1, 3) for a in (2, 7)] + [(6, 2, 0, 2, 0)]
+    assert {r["doc_id"] for r in decontaminate.drop_leaks(docs(spark, rows), bench).collect()} == {2, 3, 4, 5, 7}
+
+
 def test_leaks_on_hard_and_empty_tables(spark):
     bench = spark.createDataFrame([(1, "a b c d e f g h i")], "item_id long, text string")
     df = hard(spark)

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidelog.llm.textblock import LOWER, NO_WORD, Block
+from tidelog.llm.textblock import LOWER, NO_WORD, Block, spans
 
 FILTER = 1 << 20
 
@@ -84,6 +84,11 @@ class Index:
             runs, owner = block.windows(q)[at], of[at]
             order = np.lexsort((owner, runs))
             self.holders[size] = q, runs[order], owner[order]
+        # Items below min_words, by the hash of all their words.
+        self.short: dict[int, dict[int, list[int]]] = {}
+        for k in np.flatnonzero((sizes > 0) & (sizes < min_words)):
+            whole = int(spans(block.word, block.first[k : k + 1], block.first[k + 1 : k + 2])[0])
+            self.short.setdefault(int(sizes[k]), {}).setdefault(whole, []).append(int(k))
 
     def need(self, size: int, q: int) -> int:
         """Runs of q words that an item shares with any text within the allowed edits: each edit spoils q."""
@@ -129,7 +134,7 @@ class Index:
 
     def hits(self, block: Block) -> list[tuple[int, int, int, int, int]]:
         """(text, item, first word, word after the last, distance) for each place of an item in a text."""
-        out = []
+        out = self.copies(block)
         start, size = self.windows(block)
         if not len(start):
             return out
@@ -155,6 +160,17 @@ class Index:
                 out += [(k, item, a - int(block.first[k]), b - int(block.first[k]), d) for a, b, d in self.places(block.word[lo:end].tolist(), item, lo)]
         return out
 
+    def copies(self, block: Block) -> list[tuple[int, int, int, int, int]]:
+        """The places of items below min_words: exact ones only."""
+        out = []
+        for size, items in self.short.items():
+            whole = block.windows(size)
+            for i in np.flatnonzero(block.inside(size) & np.isin(whole, np.fromiter(items, np.uint64, len(items)))).tolist():
+                text = int(np.searchsorted(block.first, i, "right")) - 1
+                at = i - int(block.first[text])
+                out += [(text, item, at, at + size, 0) for item in items[int(whole[i])]]
+        return out
+
     def places(self, words: list[int], item: int, offset: int) -> list[tuple[int, int, int]]:
         """(first word, word after the last, distance) of the item's places in a region: the best, then those on either side of it."""
         size = len(self.words[item])
@@ -218,7 +234,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text:
     `share` of the item's words (rounded down). Each edit spoils few of the runs of two and three words that an item shares with
     a text: windows, and items for them, are picked by the number of shared runs that must be left, which loses nothing, and what
     is picked is verified exactly with Myers' algorithm. So every text with a place is reported for every item and size.
-    Of places of an item that overlap, the best is given. Items below `min_words` words are no evidence and are left out.
+    Of places of an item that overlap, the best is given. Items below `min_words` words are found in exact copies only.
 
     Whole texts are streamed, without a shuffle; items travel with the tasks in slices of `slice_bytes`, one pass each, so
     the benchmark may be of any size. Null and empty texts have no places; null keys stay null; repeated rows give repeated

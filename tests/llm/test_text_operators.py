@@ -54,6 +54,17 @@ def test_licence_templates_with_gaps(spark):
     assert out.count() == 12 and license_scan.license_scan(empty(spark)).count() == 0
 
 
+def test_licence_templates_that_repeat_a_run():
+    """A run that stands often in a template has as many places; a chain through an early one is still found."""
+    run, ends = words(6, 1), [words(1, 10 + i) for i in range(12)]
+    template = " ".join(w for e in ends for w in run + e)
+    scanner = license_scan.Scanner({}, {"own": [template]}, 6, 0.1, 12)
+    text = [w.encode() for w in run + ["odd"] + run + ["odd"] + run]
+    assert scanner.scan(text)[5] == pytest.approx(18 / 84)
+    text = [w.encode() for w in run + ends[0] + ["odd"] + run + ends[1] + ["odd"] + run + ends[2]]
+    assert scanner.scan(text)[5] == pytest.approx(21 / 84)
+
+
 # Packing
 
 

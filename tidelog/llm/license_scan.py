@@ -169,7 +169,9 @@ class Scanner:
         for t, places in hits.items():
             chains: list[list[int]] = []  # [end in text, end in template, words covered]
             for lo, i, k in sorted(places):
-                fit = max((c for c in chains[-8:] if c[0] <= lo and c[1] <= i and lo - c[0] <= self.gap), key=lambda c: c[2], default=None)
+                # Places come in order: what ends more than `gap` words before this one is out of reach of all that follow.
+                chains = [c for c in chains if lo - c[0] <= self.gap]
+                fit = max((c for c in chains if c[0] <= lo and c[1] <= i), key=lambda c: c[2], default=None)
                 covered = k + (fit[2] if fit else 0)
                 chains.append([lo + k, i + k, covered])
                 share = covered / self.sizes[t]

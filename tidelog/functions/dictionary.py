@@ -8,9 +8,20 @@ from pyspark.sql import functions as F
 from tidelog.functions.ordinals import with_rank
 
 
+#: Dictionaries of so many values are numbered on the driver, larger ones as a table.
+FEW = 1_000
+
+
 def build(values: DataFrame, column: str) -> DataFrame:
-    """(value, code): the distinct values in byte order, numbered from 0; '' and null are absent values and get no code."""
+    """(value, code): the distinct values in byte order, numbered from 0; '' and null are absent values and get no code.
+
+    Values are counted up to FEW first: so few are put in order here and become literals, more are ranked as a table.
+    """
     distinct = values.select(F.col(column).alias("value")).where("value <> ''").distinct()
+    few = sorted((r[0] for r in distinct.limit(FEW + 1).collect()), key=str.encode)
+    if 0 < len(few) <= FEW:
+        pairs = F.array(*[F.struct(F.lit(v).alias("value"), F.lit(i).alias("code")) for i, v in enumerate(few)])
+        return values.sparkSession.range(1).select(F.explode(pairs).alias("p")).select("p.value", "p.code")
     return with_rank(distinct, "value", "code").select("value", F.col("code").cast("int").alias("code"))
 
 

@@ -2,31 +2,25 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidelog.scratch import Scratch
 
-def _piece(key: Column, cuts: list, lo: int, hi: int) -> Column:
-    """The number of cuts that are not above the key, as a search tree of comparisons."""
-    if lo == hi:
-        return F.lit(lo)
-    mid = (lo + hi) // 2
-    return F.when(key < F.lit(cuts[mid]), _piece(key, cuts, lo, mid)).otherwise(_piece(key, cuts, mid + 1, hi))
 
+def with_rank(df: DataFrame, key: str, name: str, pieces: int | None = None) -> DataFrame:
+    """Add the position (from 0) of each row in the order of a key; keys should be distinct. A null key comes last.
 
-def with_rank(df: DataFrame, key: str, name: str, pieces: int = 64) -> DataFrame:
-    """Add the position (from 0) of each row in the order of a key; keys should be distinct.
-
-    A sample of `pieces` keys, those with the smallest hashes, cuts the key range. Rows are numbered inside their piece, and a
-    row for each piece carries the counts of those before it. Which sample is drawn moves the cuts, never the result. A null
-    key comes last.
+    Rows are dealt out by ranges of the key (`pieces`, else as many as the session's shuffle partitions), sorted inside each, and written once
+    with their range and their place in it: the input is not evaluated again, and a lost task can not move a row to another
+    range. A range's start is a row (a number for each shuffle partition), sent to all tasks.
     """
-    sample = df.select(key).where(F.col(key).isNotNull()).orderBy(F.xxhash64(key), key).limit(pieces - 1)
-    cuts = sorted({r[0] for r in sample.collect()}, key=lambda v: v.encode() if isinstance(v, str) else v)
-    cut = df.withColumn("__piece", F.when(F.col(key).isNull(), F.lit(len(cuts))).otherwise(_piece(F.col(key), cuts, 0, len(cuts))))
-    counts = cut.groupBy("__piece").agg(F.count("*").alias("__n"))
+    order = F.col(key).asc_nulls_last()
+    dealt = df.repartitionByRange(pieces, order) if pieces else df.repartitionByRange(order)
+    ranged = dealt.sortWithinPartitions(order)
+    numbered = ranged.withColumn("__piece", F.spark_partition_id()).withColumn("__at", F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1))
+    written = Scratch(df.sparkSession).settle(numbered)
+    counts = written.groupBy("__piece").agg(F.count("*").alias("__n"))
     before = Window.orderBy("__piece").rowsBetween(Window.unboundedPreceding, -1)
-    starts = counts.select("__piece", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__start"))  # a row for each piece
-    inside = F.row_number().over(Window.partitionBy("__piece").orderBy(F.col(key).asc_nulls_last()))
-    ranked = cut.withColumn("__at", inside).join(F.broadcast(starts), "__piece")  # `pieces` rows at most
-    return ranked.withColumn(name, (F.col("__start") + F.col("__at") - 1).cast("long")).drop("__piece", "__start", "__at")
+    starts = counts.select("__piece", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__start"))
+    return written.join(F.broadcast(starts), "__piece").withColumn(name, (F.col("__start") + F.col("__at")).cast("long")).drop("__piece", "__start", "__at")

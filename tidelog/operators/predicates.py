@@ -22,8 +22,9 @@ def code_range(encoded: DataFrame, code: str, dictionary: DataFrame, lo: str, hi
 
 
 def by_codes(encoded: DataFrame, code: str, bounds: DataFrame) -> DataFrame:
-    limits = F.broadcast(bounds)  # one row
-    return encoded.join(limits, F.col(code).between(F.col("lo_code"), F.col("hi_code"))).drop("lo_code", "hi_code")
+    """The bounds (one row) are looked up first, so that the filter holds two numbers, which a scan can push down."""
+    lo, hi = bounds.first()
+    return encoded.where(F.lit(False) if lo is None else F.col(code).between(lo, hi))
 
 
 def monotone(encoded: DataFrame, code: str, dictionary: DataFrame, predicate: Callable[[Column], Column]) -> DataFrame:

@@ -25,18 +25,26 @@ def summary(samples: DataFrame, op: Column, latency: Column, share: float = 0.99
 
 
 class Profiler:
-    """Wall-clock samples of named operators on the driver, kept until they are asked for."""
+    """Wall-clock samples of named actions on the driver, with the bytes of the files they opened and wrote."""
 
     def __init__(self) -> None:
-        self.samples: list[tuple[str, float]] = []
+        self.samples: list[tuple[str, float, int, int]] = []
 
     @contextmanager
-    def timed(self, op: str) -> Iterator[None]:
-        began = time.perf_counter()
+    def timed(self, op: str) -> Iterator[dict]:
+        """Time an action, not the building of a DataFrame; `read` and `written` of what is yielded are its bytes."""
+        began, sample = time.perf_counter(), {}
         try:
-            yield
+            yield sample
         finally:
-            self.samples.append((op, time.perf_counter() - began))
+            self.samples.append((op, time.perf_counter() - began, int(sample.get("read") or 0), int(sample.get("written") or 0)))
+
+    def rows(self, spark: SparkSession) -> DataFrame:
+        return spark.createDataFrame(self.samples, "op string, seconds double, bytes_read long, bytes_written long")
 
     def summary(self, spark: SparkSession) -> DataFrame:
-        return summary(spark.createDataFrame(self.samples, "op string, seconds double"), F.col("op"), F.col("seconds"))
+        return summary(self.rows(spark), F.col("op"), F.col("seconds"))
+
+    def bytes(self, spark: SparkSession) -> DataFrame:
+        """(op, bytes_read, bytes_written) in all."""
+        return self.rows(spark).groupBy("op").agg(F.sum("bytes_read").alias("bytes_read"), F.sum("bytes_written").alias("bytes_written"))

@@ -29,6 +29,11 @@ class Options:
     zero_level_files: int = 2
     max_memtables: int = 2
     batch_rows: int = 2_048
+    #: Mutations after which the memtable is flushed, and write calls after which it is full however few they hold.
+    memtable_rows: int = 3_354_624
+    slices_per_memtable: int = 32
+    #: Whether ending a writer starts what is due.
+    maintain: bool = True
 
 
 def log_schema(columns: list[str]) -> T.StructType:

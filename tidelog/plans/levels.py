@@ -20,6 +20,33 @@ def prune(manifest: DataFrame, lo: str, hi: str) -> DataFrame:
     return manifest.where((F.col("key_min") <= hi) & (F.col("key_max") >= lo))
 
 
+def prune_files(files: list[dict], lo: str | None = None, hi: str | None = None) -> list[dict]:
+    """The same for the manifest a store holds: the files that may hold keys from `lo` to `hi`, by bytes; None: no bound."""
+    below = None if hi is None else hi.encode()
+    above = None if lo is None else lo.encode()
+    with_keys = [f for f in files if f["key_min"] is not None]
+    return [f for f in with_keys if (below is None or f["key_min"].encode() <= below) and (above is None or f["key_max"].encode() >= above)]
+
+
+def apart(files: list[dict], epoch: int) -> set[str]:
+    """Runs that alone decide on their keys at an epoch: one version for each key, all visible, no other file in their key range."""
+    order = sorted((f for f in files if f["key_min"] is not None), key=lambda f: f["key_min"].encode())
+    reach, alone = b"", set()
+    for i, f in enumerate(order):
+        lo, hi = f["key_min"].encode(), f["key_max"].encode()
+        free = (i == 0 or reach < lo) and (i + 1 == len(order) or hi < order[i + 1]["key_min"].encode())
+        if free and f["n_versions"] == f["key_num"] and f["max_epoch"] <= epoch:
+            alone.add(f["run_id"])
+        reach = max(reach, hi)
+    return alone
+
+
+def due(files: list[dict], options: Options = Options()) -> list[int]:
+    """The levels that are too full, from the top: as `full_levels`, but level 0 only beyond the files it may hold."""
+    counts = {level: sum(f["level"] == level for f in files) for level in range(options.max_level - 1)}
+    return [level for level, n in counts.items() if n > (options.zero_level_files if level == 0 else options.level_ratio ** (level - 1) * 4)]
+
+
 def overlap(manifest: DataFrame) -> DataFrame:
     """Each run with `no_overlap_in_next_level`.
 

@@ -281,9 +281,13 @@ def flush_run_meta(spark, sf_dir):
     return levels.run_metadata(log.withColumn("run_id", run_of(F.col("epoch"))), "run_id")
 
 
-@query("flush_run", f"WITH {LOG} SELECT k, c1, c2, epoch, deleted FROM {newest_sql('epoch % 3 = 2')} s")
+@query("flush_run", f"""WITH {LOG} SELECT run_id, k, c1, c2, epoch, deleted FROM (
+  SELECT *, row_number() OVER (PARTITION BY run_id, k ORDER BY epoch DESC) AS rn FROM (SELECT *, {RUNS} AS run_id FROM log) r) z WHERE rn = 1""")
 def flush_run(spark, sf_dir):
-    return merge.compact(event_log(spark, sf_dir).where("epoch % 3 = 2"), bottom=False).select("k", "c1", "c2", "epoch", "deleted")
+    """Every run by itself: its newest version of each key, tombstones too."""
+    log = event_log(spark, sf_dir)
+    flushed = [merge.compact(log.where(run_of(F.col("epoch")) == r), bottom=False).select(F.lit(r).alias("run_id"), "k", "c1", "c2", "epoch", "deleted") for r in "abm"]
+    return merge.union_runs(*flushed)
 
 
 @query("block_index", f"WITH {ORDERS} SELECT CAST((rn - 1) // 3276 AS INTEGER) AS block, min(k) AS key_min, count(*) AS n_rows FROM (SELECT k, row_number() OVER (ORDER BY k) AS rn FROM o) x GROUP BY 1")
@@ -300,11 +304,15 @@ def bloom_sizing(spark, sf_dir):
     return n.select("run_id", *[c.alias(name) for name, c in levels.bloom_size(F.col("key_num")).items()])
 
 
-@query("bloom_probe", f"WITH {LOG} SELECT DISTINCT {RUNS} AS run_id, k FROM log WHERE k < '2'")
+@query("bloom_probe", f"WITH {LOG} SELECT {RUNS} AS run_id, count(DISTINCT k) AS n_there, 1000 AS n_absent, TRUE AS few_false FROM log GROUP BY 1")
 def bloom_probe(spark, sf_dir):
-    """Pairs of run and key that a filter lets through and that are there: none may be missing."""
+    """Each run's filter is asked for all its keys, of which none may be missing, and for 1,000 keys that are nowhere, of which it
+    may let a few through (a share of 0.01 is aimed at, five times as many are allowed)."""
     pairs = event_log(spark, sf_dir).select(run_of(F.col("epoch")).alias("run_id"), "k")
-    return bloom.may_hold(bloom.build(pairs, "run_id"), "run_id", pairs.where("k < '2'"))
+    absent = spark.range(1000).select(F.explode(F.array(*map(F.lit, "abm"))).alias("run_id"), F.concat(F.lit("absent"), F.col("id").cast("string")).alias("k"))
+    passed = bloom.may_hold(bloom.build(pairs, "run_id"), "run_id", pairs.union(absent))
+    there = ~F.col("k").startswith("absent")
+    return passed.groupBy("run_id").agg(F.count_if(there).alias("n_there"), F.lit(1000).alias("n_absent"), (F.count_if(~there) <= 50).alias("few_false"))
 
 
 @query("run_pruning", f"WITH {META} SELECT level, run_id, key_min, key_max FROM files WHERE key_min <= '35' AND key_max >= '2'")

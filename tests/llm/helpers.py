@@ -1,8 +1,9 @@
 import random
 
 SF = "/root/testdata/sf0.001"
-CLASH = ["key", "text2", "score", "predicted", "n_lines", "n_dropped", "shard", "slot", "node", "row", "bucket", "block", "h", "t", "d", "l", "bad", "keys", "kept"]
-SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join(f"{c} string" for c in CLASH)
+CLASH = ["key", "text2", "score", "predicted", "n_lines", "n_dropped", "shard", "slot", "node", "row", "bucket", "block", "h", "t", "d", "l", "bad", "keys", "kept",
+         "__row", "__node", "__packed", "__bands", "__own", "__weight", "__origin", "__hashed", "__hash", "__bucket", "__place", "__start", "__every", "__all", "__at", "__text", "__best", "__score", "__good"]
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join(f"`{c}` string" for c in CLASH)
 
 
 def words(n, seed):

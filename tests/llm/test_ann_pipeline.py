@@ -57,6 +57,27 @@ def test_vectors_that_take_no_part(spark):
     assert ann.search(df.limit(0)).collect() == [] and ann.search(df.where("vec_id = 100")).collect() == []
 
 
+def test_repeated_rows(spark):
+    """An id that repeats is one query, by its smallest vector; as candidates its rows count each."""
+    rng = np.random.default_rng(4)
+    rows = [(i, [float(x) for x in rng.normal(size=4)]) for i in range(1, 60)]
+    rows += [(100, [1.0, 0.0, 0.0, 2.0]), (100, [1.0, 0.0, 0.0, 2.0]), (200, [3.0, 0.0, 0.0, 0.0]), (200, [0.0, 5.0, 0.0, 0.0]), (7, rows[6][1]), (8, rows[7][1])]
+    got = found(ann.search(spark.createDataFrame(rows, "vec_id long, embedding array<float>").repartition(3), visit=1.0).collect())
+    ids, points = np.array([r[0] for r in rows]), np.array([np.float32(r[1]) for r in rows], float)
+    for q, v in ((100, [1.0, 0.0, 0.0, 2.0]), (200, [0.0, 5.0, 0.0, 0.0])):
+        d, others = np.sqrt(((points - v) ** 2).sum(1)), np.flatnonzero(ids != q)
+        want = others[np.lexsort((ids[others], d[others]))][:10]
+        assert [x for x, _ in got[q]] == ids[want].tolist() and np.allclose([s for _, s in got[q]], d[want])
+    assert set(got) == {100, 200}
+
+
+def test_the_share_to_visit_follows_how_well_vectors_cluster():
+    rng = np.random.default_rng(3)
+    tight = rng.normal(size=(20, 8))[rng.integers(0, 20, 2000)] * 10 + rng.normal(size=(2000, 8)) * 0.1
+    shares = [ann.share_to_visit(p, (ann.kmeans(p[:, :4], 20), ann.kmeans(p[:, 4:], 20)), 10, 0.95) for p in (tight, rng.normal(size=(2000, 8)))]
+    assert shares[0] < 0.1 < shares[1] <= 1
+
+
 def test_traversal_visits_pairs_by_summed_distance():
     rng = np.random.default_rng(2)
     a, b = rng.random(7), rng.random(5)
@@ -88,8 +109,10 @@ def test_stages_in_order_with_their_columns(spark, tmp_path):
     # Copies: one of each class by a plain version, unless a similarity is close to the limit.
     pairs = sorted((r[0], r[1]) for r in rows[2])
     classes, sims = plain_classes(pairs)
-    if not any(0.78 < s < 0.82 for s in sims.values()):
-        assert sorted(r[0] for r in rows[3]) == [pairs[c][0] for c in sorted(set(classes))]
+    unsure = {i for p, s in sims.items() if 0.79 < s < 0.81 for i in p}
+    spoiled = {classes[i] for i in unsure}
+    sure = {pairs[c][0] for c in set(classes) - spoiled}
+    assert sure <= {r[0] for r in rows[3]} <= sure | {pairs[i][0] for i, c in enumerate(classes) if c in spoiled} and len(spoiled) <= 0.05 * len(sure)
     # Leaks: none is left, and only leaks went.
     bench = spark.read.parquet(f"{SF}/benchmark.parquet")
     leaks = {r["doc_id"] for r in decontaminate.find_leaks(kept[3], bench).collect()}
@@ -106,5 +129,9 @@ def test_stages_on_hard_and_empty_tables(spark, tmp_path):
         for i, (name, stage) in enumerate(corpus_pipeline.STAGES):
             stage(spark, df, SF).write.parquet(f"{tmp_path}/{n}-{i}")
             df = spark.read.parquet(f"{tmp_path}/{n}-{i}")
-            assert df.count() <= max(rows, 10_000) and (rows or not df.count()), name
+            now = df.count()
+            assert now <= (rows if i < 4 else 10_000) and (rows or not now), name
+            if name == "line_dedup":
+                assert now == rows  # lines go, documents stay
+            rows = now if i < 4 else rows
 

@@ -14,21 +14,23 @@ def test_query_gives_the_rows_of_its_sql(spark, name):
     same(spark, catalog.QUERIES[name], catalog.ORACLE_SQL[name])
 
 
-def plain_lines(rows, ratio=0.1, least=5):
+def plain_lines(rows, ratio=0.1):
     seen, pages = collections.Counter(), collections.Counter(s for _, _, s in rows)
     for _, t, s in rows:
         seen.update((s, x) for x in {x.strip(" ") for x in (t or "").split("\n")} if x)
-    bad = {k for k, n in seen.items() if n >= least and n / pages[k[0]] > ratio}
+    bad = {k for k, n in seen.items() if n > 1 and n / pages[k[0]] > ratio}
     return [(i, None if t is None else "\n".join(x for x in t.split("\n") if not x.strip(" ") or (s, x.strip(" ")) not in bad), s) for i, t, s in rows]
 
 
 def test_line_dedup_against_a_plain_version(spark):
     rng = random.Random(2)
     rows = [(i, "\n".join(rng.choice(["menu ", " footer", f"own {i}", f"r{rng.randrange(40)}", ""]) for _ in range(rng.randrange(8))), rng.choice(["a", "a", "b", None])) for i in range(300)]
+    rows += [(9, "own line", "d"), (9, "shared\nodd", "e"), (10, "shared", "e")]  # hosts of one and two pages
     rows += [(7, None, "a"), (7, "menu", "c"), (8, "footer\nmenu", "a"), (8, "footer\nmenu", "a")]
-    got = [(r["doc_id"], r["text"], r["source"]) for r in line_dedup.line_dedup(docs(spark, rows)).collect()]
     key = lambda r: tuple((x is None, x) for x in r)
-    assert sorted(got, key=key) == sorted(plain_lines(rows), key=key)
+    for sent in (line_dedup.SENT, 0):  # both ways of meeting the lines to drop
+        got = [(r["doc_id"], r["text"], r["source"]) for r in line_dedup.line_dedup(docs(spark, rows), sent=sent).collect()]
+        assert sorted(got, key=key) == sorted(plain_lines(rows), key=key)
 
 
 def test_line_dedup_on_hard_rows(spark):
@@ -82,7 +84,7 @@ def day(text):
 
 
 def judge(spark, captures, entries):
-    c = spark.createDataFrame(captures, "id int, url string, at string").selectExpr("id", "url", "to_date(at) AS fetched_on", "'x' AS key", "'y' AS verdict")
+    c = spark.createDataFrame(captures, "id int, url string, at string").selectExpr("id", "url", "to_date(at) AS fetched_on", "'x' AS key", "'y' AS verdict", "0 AS row", "'a' AS `__row`", "'b' AS `__best`", "7 AS month")
     e = spark.createDataFrame(entries, "key string, at string, action string").selectExpr("key", "to_date(at) AS listed_on", "action")
     return {r["id"]: (r["verdict"], r["matched_key"], str(r["listed_since"]) if r["listed_since"] else None) for r in url_filter.url_filter(c, e).collect()}
 

@@ -65,6 +65,49 @@ def test_licence_templates_that_repeat_a_run():
     assert scanner.scan(text)[5] == pytest.approx(21 / 84)
 
 
+def plain_cover(text, templates, least, cover, gap):
+    """Labels and best share by all maximal matches of all pairs of places, chained by dynamic programming over all of them."""
+    labels, best = set(), 0.0
+    for label, bodies in templates.items():
+        for body in (b.split() for b in bodies):
+            hits = []
+            for i in range(len(text)):
+                for j in range(len(body)):
+                    if text[i] == body[j] and not (i and j and text[i - 1] == body[j - 1]):
+                        k = 0
+                        while i + k < len(text) and j + k < len(body) and text[i + k] == body[j + k]:
+                            k += 1
+                        if k >= least:
+                            hits.append((i, j, k))
+            done = []
+            for i, j, k in sorted(hits):
+                before = [c for a, b, c in done if a <= i and b <= j and i - a <= gap]
+                done.append((i + k, j + k, k + max(before, default=0)))
+            share = max((c for _, _, c in done), default=0) / len(body)
+            best = max(best, min(1.0, share))
+            labels |= {label} if share >= cover else set()
+    return labels, best
+
+
+@pytest.mark.parametrize("seed", range(6))
+def test_licence_labels_and_scores_against_all_matches(seed):
+    rng = random.Random(seed)
+    pool = [words(rng.randrange(3, 9), 40 + i) for i in range(7)]  # pieces that templates share
+    templates = {f"l{i}": [" ".join(w for _ in range(rng.randrange(2, 6)) for w in rng.choice(pool)) for _ in range(2)] for i in range(5)}
+    scanner = license_scan.Scanner({}, templates, 6, 0.5, 12)
+    for _ in range(150):
+        text = [w for _ in range(rng.randrange(1, 9)) for w in rng.choice([*pool, ["odd"] * rng.randrange(1, 14)])]
+        _, _, _, _, labels, score = scanner.scan([w.encode() for w in text])
+        assert (labels, pytest.approx(score)) == plain_cover(text, templates, 6, 0.5, 12)
+
+
+def test_a_template_that_joins_late_in_a_match_is_seen():
+    a, b, c = words(6, 1), words(8, 2), words(8, 3)
+    scanner = license_scan.Scanner({}, {"A": [" ".join(a + b)], "B": [" ".join(b + c)]}, 6, 0.5, 12)
+    for text in (a + b, ["odd", *b]):
+        assert scanner.scan([w.encode() for w in text])[4] == {"A", "B"}
+
+
 # Packing
 
 
@@ -261,6 +304,89 @@ def test_near_copies_of_a_text_that_a_third_of_all_rows_hold(spark):
     assert {got[i] for i in range(48)} == {0} and len(set(got.values())) == 73
 
 
+def check_classes(spark, rows, found):
+    """Classes as by all pairs, but for texts in a pair whose similarity the hashed frequencies may move across the limit."""
+    want, sims = plain_classes(rows)
+    unsure = {i for p, s in sims.items() if 0.79 < s < 0.81 for i in p}
+    spoiled = {want[i] for i in unsure}
+    assert len(found) == len(rows)
+    classes, plain = collections.defaultdict(set), collections.defaultdict(set)
+    for i, (key, _) in enumerate(rows):
+        classes[found[key]].add(i)
+        plain[want[i]].add(i)
+    for name, members in plain.items():
+        if name not in spoiled:
+            assert classes[found[rows[min(members)][0]]] - unsure == members
+    return len(plain), len(spoiled)
+
+
+def test_query_of_documents_against_all_pairs(spark):
+    rows = sorted(texts(spark).items())
+    found = {r["doc_id"]: r["class_id"] for r in catalog.op1_near_dedup(spark, SF).collect()}
+    classes, spoiled = check_classes(spark, rows, found)
+    assert classes < len(rows) and spoiled <= 0.05 * classes
+
+
+def test_a_group_of_near_copies_many_of_which_are_not_alike_against_all_pairs(spark):
+    """Variants from 0.4 to 1 alike, two families of them, beside texts that share a passage: nothing is lost, and few pairs are compared."""
+    rng = random.Random(11)
+    base = words(150, 900)
+    other = base[:110] + words(40, 901)
+    rows = []
+    for i in range(260):
+        copy = list(base if i % 3 else other)
+        for _ in range(rng.randrange(0, 8)):
+            at = rng.randrange(len(copy))
+            copy[at : at + 1] = rng.choice([[], [rng.choice(["new", "word", "here", "odd"])], [copy[at], "more"], [f"own{i}"]])
+        rows.append((len(rows), " ".join(copy)))
+    passage = words(60, 902)
+    rows += [(len(rows) + i, " ".join(passage + words(rng.randrange(5, 60), 2000 + i))) for i in range(60)]
+    compared = []
+    pairs = near_dedup.Linker._pairs
+    near_dedup.Linker._pairs = lambda self, held: compared.append((out := self.scratch.settle(pairs(self, held))).count()) or out
+    try:
+        found = {r["doc_id"]: r["class_id"] for r in near_dedup.near_classes(docs(spark, rows)).collect()}
+    finally:
+        near_dedup.Linker._pairs = pairs
+    want, sims = plain_classes(rows)
+    index = {i: r[0] for i, r in enumerate(rows)}
+    # Every pair clearly above the limit is in one class, and no class holds what no chain of pairs near the limit joins.
+    for (i, j), s in sims.items():
+        if s >= 0.805:
+            assert found[index[i]] == found[index[j]]
+    parent = {i: i for i in index}
+
+    def root(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for (i, j), s in sims.items():
+        if s >= 0.795:
+            parent[root(i)] = root(j)
+    for i in index:
+        for j in index:
+            if found[index[i]] == found[index[j]]:
+                assert root(i) == root(j)
+    unlike = sum(1 for s in sims.values() if 0.3 < s < 0.8)
+    assert sum(compared) < 0.02 * unlike
+
+
+def test_long_lists_become_groups_with_pivots_of_their_own(spark, monkeypatch):
+    monkeypatch.setattr(near_dedup, "SHORT", 2)
+    rng = random.Random(3)
+    base = words(100, 1)
+    rows = []
+    for i in range(36):
+        copy = list(base)
+        for at in rng.sample(range(0, 100, 8), rng.randrange(1, 5)):
+            copy[at] = "edit"
+        rows.append((i, " ".join(copy)))
+    found = {r["doc_id"]: r["class_id"] for r in near_dedup.near_classes(docs(spark, rows)).collect()}
+    _, sims = plain_classes(rows)
+    assert all(found[i] == found[j] for (i, j), s in sims.items() if s >= 0.805)
+
+
 def test_near_dedup_of_hard_rows(spark):
     df = hard(spark)
     found = near_dedup.near_classes(df).collect()
@@ -351,6 +477,23 @@ def test_leaks_of_long_items_at_the_largest_distance_are_all_found(spark, kind):
     assert {(r["doc_id"], r["item_id"]) for r in got} == {(i, items[i % 3][0]) for i in range(90)}
 
 
+def test_query_finds_the_places_of_a_search_of_all_items_in_all_texts(spark):
+    norm = lambda t: re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", (t or "").translate({c: c + 32 for c in range(65, 91)}))
+    items = {r["item_id"]: norm(r["text"]) for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect()}
+    want = {}
+    for doc, text in texts(spark).items():
+        body = norm(text)
+        for item, query in items.items():
+            if len(set(query) & set(body)) >= len(set(query)) - len(query) // 5 and body:
+                best = min(decontaminate.search(decontaminate.masks(query), len(query), body))
+                if best <= len(query) // 5:
+                    want[doc, item] = best
+    got = {}
+    for r in catalog.op4_decontaminate(spark, SF).collect():
+        got[r["doc_id"], r["item_id"]] = min(r["distance"], got.get((r["doc_id"], r["item_id"]), 1000))
+    assert got == want
+
+
 def test_exact_copies_of_short_items_are_found(spark):
     bench = spark.createDataFrame([(1, "Why is it so?"), (2, "two words"), (3, "why is it so"), (4, " ".join(words(20, 3)))], "item_id long, text string")
     rows = [(1, "he asked: why is it SO, then why is it so"), (2, "why is it"), (3, "so why is that so"), (4, "two"), (5, "words two"), (6, "two, words"), (7, None)]
@@ -389,10 +532,29 @@ def test_quality_on_held_out_rows(spark):
     assert sum(a == 1 and b == 0 for a, b in held) <= 0.02 * len(held)
 
 
+def test_quality_scores_against_a_plain_version(spark):
+    """A text's odds are the mean of its features' weights and the constant, counted feature by feature."""
+    rng = np.random.default_rng(5)
+    model = rng.normal(size=quality.BUCKETS).astype(np.float32), 0.25
+    df = hard(spark)
+    for r in quality.score(df, model).collect():
+        found = [b for kind, _ in quality.features([r["text"] or ""]) for b in kind.tolist()]
+        odds = (sum(float(model[0][b]) for b in found) / len(found) if found else 0.0) + 0.25
+        assert r["score"] == pytest.approx(1 / (1 + np.exp(-odds))) and r["predicted"] == (r["score"] >= 0.3)
+
+
+def test_quality_learns_from_one_text_of_a_repeated_id(spark):
+    rows = [(i, f"{'good fine' if i % 2 else 'bad poor'} text {i}") for i in range(60)]
+    rows += [(1, "bad poor other"), (2, "good fine other")]
+    labels = spark.createDataFrame([(i, i % 2) for i in range(60)], "doc_id long, quality int")
+    first, second = (quality.fit(docs(spark, rows).repartition(n), labels) for n in (1, 5))
+    assert np.array_equal(first[0], second[0]) and first[1] == second[1]
+
+
 def test_quality_on_hard_rows_and_without_labels(spark):
     df = hard(spark)
     labels = spark.createDataFrame([(4, 1, 0), (7, 0, 0), (7, 0, 0), (5, None, 0), (None, 1, 0)], "doc_id long, quality int, toxic int")
-    model = quality.fit(df, labels, fold=None, max_bytes=1 << 20)
+    model = quality.fit(df, labels, fold=None)
     out = quality.score(df, model)
     assert out.count() == 12 and all(0 <= r["score"] <= 1 for r in out.collect())
     nothing = quality.fit(df, labels.limit(0))

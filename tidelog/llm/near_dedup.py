@@ -462,7 +462,9 @@ class Classes:
         shared = marks.groupBy("bucket").agg(F.count("*").alias("n"), F.min(F.struct("own", "node", "weight")).alias("first")).where("n > 1").select("bucket", F.col("first.node").alias("leader"), F.col("first.weight").alias("most"))
         entries = scratch.settle(marks.join(shared, "bucket"))
         members = entries.select("node").distinct()
-        texts = scratch.settle(rows.select(F.col(node).alias("node"), F.col(packed).alias("packed")).join(members, "node").groupBy("node").agg(F.min("packed").alias("packed")))
+        # One row of each node, chosen by numbers, so that the texts of many exact copies never meet.
+        chosen = rows.groupBy(F.col(node).alias("node")).agg(F.min(row).alias("row")).join(members, "node", "left_semi")
+        texts = scratch.settle(rows.select(F.col(row).alias("row"), F.col(packed).alias("packed")).join(chosen, "row").select("node", "packed"))
         linker = Linker(texts, scratch.settle(members.limit(0).selectExpr("node", "node AS comp")), idf, least, scratch)
         # A text has no more in common with another than the lighter of the two weighs.
         met = entries.where("node <> leader").where(_may_link(F.least("weight", "most"), F.col("weight") + F.col("most"), least))

@@ -116,21 +116,41 @@ def _searcher(k: int, dim: int):
     return search
 
 
-def search(vectors: DataFrame, key: str = "vec_id", vector: str = "embedding", every: int = 100, k: int = 10, centroids: int = 32,
-           visit: float = 0.5, sample: int = 20_000, chunk: int = 4096) -> DataFrame:
+def share_to_visit(points: np.ndarray, books: tuple[np.ndarray, np.ndarray], k: int, recall: float, queries: int = 256) -> float:
+    """The share of all entries that a query must visit for `recall` of its k nearest, measured on a sample of the entries.
+
+    Among more entries the nearest lie closer to a query, so a share that does for the sample does for the table.
+    """
+    half, shares = books[0].shape[1], []
+    d1, d2 = (np.maximum(distances(p, b), 0) for p, b in ((points[:, :half], books[0]), (points[:, half:], books[1])))
+    own1, own2 = d1.argmin(1), d2.argmin(1)
+    for i in np.unique(np.linspace(0, len(points) - 1, min(queries, len(points))).astype(int)):
+        far = distances(points[i : i + 1], points)[0]
+        far[i] = np.inf
+        near = np.argpartition(far, min(k, len(far)) - 1)[: min(k, len(far) - 1)]
+        sums = d1[i][own1] + d2[i][own2]
+        shares += [float((sums <= s).mean()) for s in sums[near]]
+    return float(np.quantile(shares, recall)) if shares else 1.0
+
+
+def search(vectors: DataFrame, key: str = "vec_id", vector: str = "embedding", every: int = 100, k: int = 10, centroids: int | None = None,
+           visit: float | None = None, recall: float = 0.95, sample: int = 20_000, chunk: int = 4096) -> DataFrame:
     """The k nearest vectors found for each query: query_id, rank, vec_id, score (Euclidean distance in double precision).
 
-    Queries are the rows whose id is divisible by `every`; candidates are all rows but the query's own (its id). Both halves
-    of the vectors are quantised by k-means with `centroids` centres, fitted on the `sample` rows first in the order of a hash
-    of the id; every row is indexed under its pair of centres. A query visits pairs by summed distance with a heap until they
-    hold the share `visit` of all entries, and their entries are reranked by exact distance, ties to smaller ids.
+    Queries are the ids divisible by `every`; candidates are all rows but the query's own (its id). Both halves of the vectors
+    are quantised by k-means, fitted on the `sample` rows first in the order of a hash of the id; every row is indexed under
+    its pair of centres. There are as many centres for a half as give cells of 64 entries, 32 to 256 (`centroids`: that many).
+    A query visits pairs by summed distance with a heap until they hold a share of all entries, and their entries are reranked
+    by exact distance, ties to smaller ids. The share is the one that reaches `recall` on the sample (`visit`: that share), so
+    the work for a query follows how well the vectors cluster.
 
     Entries of a large cell are dealt out over parts of `chunk` rows by a hash of the id, so a vector that a third of all rows
     share is many parts. Driver and tasks hold the centres and one count for each pair, whatever the input.
 
     Vectors that are null, empty, zero, or hold a null or a component that is not finite take no part, nor do rows without an
-    id or with another length than most. Repeated rows are candidates each. Fewer than k candidates: all found. No vectors:
-    an empty result. Other columns are not looked at.
+    id or with another length than most. An id that repeats is one query, by its smallest vector in the order of components;
+    as candidates, repeated rows count each. Fewer than k candidates: all found. No vectors: an empty result. Other columns are
+    not looked at.
     """
     spark = vectors.sparkSession
     scratch = Scratch(spark)
@@ -138,20 +158,24 @@ def search(vectors: DataFrame, key: str = "vec_id", vector: str = "embedding", e
     sizes = good.groupBy(F.size("v").alias("dim")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), "dim").limit(1).first()
     if sizes is None:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    dim = sizes["dim"]
+    dim, rows = sizes["dim"], sizes["n"]
     good = good.where(F.size("v") == dim)
     taught = np.array([r["v"] for r in good.orderBy(F.xxhash64("id"), "id").limit(sample).collect()])
     half = max(1, dim // 2)
+    centroids = centroids or int(np.clip(np.sqrt(rows / 64), 32, 256))
     books = (kmeans(taught[:, :half], centroids), kmeans(taught[:, half:], centroids) if dim > 1 else np.zeros((1, 0)))
+    if visit is None:
+        visit = share_to_visit(taught, books, k, recall)
     index = scratch.settle(good.mapInArrow(partial(_assign, books=books), "id long, v array<double>, cell int"))
     # A vector that repeats is worth k + 1 entries at most, or its copies would fill a query's share.
     copies = index.groupBy("cell", F.xxhash64("v").alias("same")).agg(F.count("*").alias("n"))
-    cells = copies.groupBy("cell").agg(F.sum("n").alias("n"), F.sum(F.least("n", F.lit(k + 1))).alias("worth")).collect()  # centroids ** 2 rows at most
+    cells = copies.groupBy("cell").agg(F.sum("n").alias("n"), F.sum(F.least("n", F.lit(k + 1))).alias("worth")).collect()  # 256 ** 2 rows at most
     counts = {r["cell"]: (r["n"], r["worth"]) for r in cells}
     enough = max(200, int(np.ceil(visit * sum(r["worth"] for r in cells))))
-    queries = index.where(F.col("id") % every == 0).select("id", "v").mapInArrow(partial(_route, books=books, counts=counts, enough=enough, chunk=chunk), "cell int, part int, id long, v array<double>")
-    parts = F.element_at(F.create_map(*[F.lit(x) for c, (n, _) in counts.items() for x in (c, -(-n // chunk))]), F.col("cell"))
-    entries = index.withColumn("part", F.pmod(F.xxhash64("id", F.monotonically_increasing_id()), parts).cast("int"))
+    asked = index.where(F.col("id") % every == 0).groupBy("id").agg(F.min("v").alias("v"))
+    queries = asked.mapInArrow(partial(_route, books=books, counts=counts, enough=enough, chunk=chunk), "cell int, part int, id long, v array<double>")
+    parts = spark.createDataFrame([(c, -(-n // chunk)) for c, (n, _) in counts.items()], "cell int, parts long")
+    entries = index.join(F.broadcast(parts), "cell").withColumn("part", F.pmod(F.xxhash64("id", F.monotonically_increasing_id()), "parts").cast("int")).drop("parts")
     found = queries.groupBy("cell", "part").cogroup(entries.groupBy("cell", "part")).applyInArrow(_searcher(k, dim), FOUND)
     best = Window.partitionBy("query_id").orderBy("score", "vec_id")
     return found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")

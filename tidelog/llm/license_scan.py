@@ -9,6 +9,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidelog.llm.common import small_batches
+
 #: Every byte that is not part of a word becomes a blank: words are [0-9a-z] and bytes of characters beyond ASCII.
 WORDS = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
 
@@ -159,12 +161,20 @@ class Scanner:
     def _chain(self, words: list[bytes], runs: list[tuple[int, int]]) -> tuple[set, float]:
         """Chain matches of one template, in order and not far apart, into spans; the words covered decide."""
         hits: dict[int, list[tuple[int, int, int]]] = {}
+        upto: dict[tuple[int, int], int] = {}  # where the last match of a template at an offset ended
+        done = 0
         for lo, hi in runs:
-            for t, i in self.grams.get(tuple(words[lo : lo + self.least]), ()):
-                k = 0
-                while lo + k < hi and i + k < self.sizes[t] and self.sequences[t][i + k] == words[lo + k]:
-                    k += 1
-                hits.setdefault(t, []).append((lo, i, k))
+            # Each place of a run may begin a match with a template that others of its words do not stand in.
+            for at in range(max(lo, done), hi - self.least + 1):
+                for t, i in self.grams.get(tuple(words[at : at + self.least]), ()):
+                    if upto.get((t, i - at), 0) > at:
+                        continue
+                    k = self.least
+                    while at + k < len(words) and i + k < self.sizes[t] and self.sequences[t][i + k] == words[at + k]:
+                        k += 1
+                    upto[t, i - at] = at + k
+                    hits.setdefault(t, []).append((at, i, k))
+            done = max(done, hi - self.least + 1)
         found, best = set(), 0.0
         for t, places in hits.items():
             chains: list[list[int]] = []  # [end in text, end in template, words covered]
@@ -199,9 +209,10 @@ def license_scan(docs: DataFrame, key: str = "doc_id", text: str = "text", phras
     """Licence phrases and covered licence text of every whole text; one row for each row, in one pass without a shuffle.
 
     A suffix automaton of all phrases and templates streams each text's words and keeps the longest match that ends at each
-    word. Places where a phrase ends are counted, each. Matches of `least` words or more are chained by template, in order
-    and at most `gap` words apart; a template covered to the share `cover` gives its label. score is 1 with a phrase, else
-    the best share covered.
+    word. Places where a phrase ends are counted, each. Where that match is `least` words or longer, every template that holds
+    `least` of its words in a row gives a match, as long as it goes on; a template's matches are chained, in order, without
+    overlap and at most `gap` words apart; a template covered to the share `cover` gives its label. score is 1 with a phrase,
+    else the best share covered.
 
     Null or empty text: no words, no labels ('' strings), score 0. Null keys stay null; repeated rows give repeated rows;
     an empty table gives no rows. Other columns are not looked at.
@@ -209,4 +220,4 @@ def license_scan(docs: DataFrame, key: str = "doc_id", text: str = "text", phras
     args = (PHRASES if phrases is None else phrases, TEMPLATES if templates is None else templates, least, cover, gap)
     key_type = docs.schema[key].dataType.simpleString()
     schema = f"`{key}` {key_type}, n_words long, n_base long, first_word long, last_word long, base_labels string, labels string, score double"
-    return docs.select(F.col(key), F.col(text).alias("__text")).mapInArrow(partial(_scan, scanner=args), schema)
+    return small_batches(docs).select(F.col(key), F.col(text).alias("text")).mapInArrow(partial(_scan, scanner=args), schema)

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidelog.llm.common import Scratch
+from tidelog.llm.common import Scratch, small_batches
 from tidelog.llm.textblock import Block, sliding_argmin
 
 
@@ -192,8 +192,7 @@ def substring_dedup(docs: DataFrame, width: int = 35, key: str = "doc_id", text:
     texts: no words, kept ''. Repeated rows are copies of each other. Null keys stay null. Empty table: empty result. Other
     columns are not looked at. Two different windows are taken for equal with a chance of 2**-64 for each pair.
     """
-    spark = docs.sparkSession
-    scratch = Scratch(spark)
+    scratch = Scratch(small_batches(docs).sparkSession)
     kind = docs.schema[key].dataType
     key_type = _arrow_type(kind)
     state_type = T.StructType([T.StructField("block", T.LongType()), T.StructField("open", T.BooleanType()), T.StructField("keys", T.ArrayType(kind)), T.StructField("texts", T.ArrayType(T.BinaryType())), T.StructField("marks", T.ArrayType(T.BinaryType()))])

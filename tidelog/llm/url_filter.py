@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidelog.llm.common import Scratch, free_names
+
 HOST = r"^[A-Za-z][A-Za-z0-9+.\-]*://(?:[^/?#@]*@)?([^/:?#]+)"
 PATH = r"^[A-Za-z][A-Za-z0-9+.\-]*://[^/?#]*([^?#]*)"
 
@@ -40,16 +42,24 @@ def url_filter(captures: DataFrame, entries: DataFrame, url: str = "url", fetche
     with null key and date. All columns come back, those of `names` added or replaced.
 
     Null URLs or dates, and URLs without a host, are kept: nothing can list them. Repeated captures are judged each. Empty
-    captures: empty result; empty lists: all kept. Keys meet intervals in an equality join, one row at most for each key and
-    date; adaptive execution broadcasts the list only where it is small, and splits a hot host otherwise. The longest match is
-    found by grouped aggregation over row numbers, so a hot host is many groups.
+    captures: empty result; empty lists: all kept. Columns of any name may come along.
+
+    Intervals are written once, so that captures and intervals meet by key in a plain join: adaptive execution sends a small
+    list to all tasks and splits a hot key, such as a top-level domain, otherwise. Keys are dealt out by month: a capture looks
+    in the month of its date, an interval stands in each month it reaches into, up to the last capture, so that a key meets the
+    dates of one month and not all of them. The longest match is found by grouped aggregation over row numbers, so a hot host is many groups.
     """
-    rows = captures.drop(*names).withColumn("__row", F.monotonically_increasing_id())
-    looked = rows.select("__row", F.col(fetched).alias("on"), F.explode(keys_of(F.col(url))).alias("key"))
-    active = looked.join(intervals(entries), "key").where("on >= since AND (until IS NULL OR on < until)")
-    best = active.groupBy("__row").agg(F.max(F.struct(F.length("key").alias("n"), "key", "verdict", "since")).alias("__best"))
-    judged = rows.join(best, "__row", "left")
-    return judged.select(*[F.col(c) for c in rows.columns if c != "__row"], F.coalesce("__best.verdict", F.lit("keep")).alias(names[0]), F.col("__best.key").alias(names[1]), F.col("__best.since").alias(names[2]))
+    row, best = free_names([*captures.columns, *names], "row", "best")
+    rows = captures.drop(*names).withColumn(row, F.monotonically_increasing_id())
+    month = lambda d: F.year(d) * 12 + F.month(d)
+    last = captures.agg(F.max(fetched)).first()[0]
+    held = intervals(entries).withColumn("end", F.least(F.coalesce("until", F.lit(last)), F.lit(last))).where("since <= end")
+    listed = Scratch(captures.sparkSession).settle(held.withColumn("month", F.explode(F.sequence(month(F.col("since")), month(F.col("end"))))).drop("end"))
+    looked = rows.select(F.col(row).alias("row"), F.col(fetched).alias("on"), month(F.col(fetched)).alias("month"), F.explode(keys_of(F.col(url))).alias("key"))
+    active = looked.join(listed, ["key", "month"]).where("on >= since AND (until IS NULL OR on < until)")
+    found = active.groupBy(F.col("row").alias(row)).agg(F.max(F.struct(F.length("key").alias("n"), "key", "verdict", "since")).alias(best))
+    judged = rows.join(found, row, "left")
+    return judged.select(*[F.col(c) for c in rows.columns if c != row], F.coalesce(f"{best}.verdict", F.lit("keep")).alias(names[0]), F.col(f"{best}.key").alias(names[1]), F.col(f"{best}.since").alias(names[2]))
 
 
 def sample_list(pages: DataFrame) -> DataFrame:

@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tidelog.llm.common import Scratch, keep, small_batches
 from tidelog.llm.textblock import LOWER, NO_WORD, Block, spans
 
 FILTER = 1 << 20
@@ -193,37 +194,44 @@ class Index:
 def _scan(batches: Iterator[pa.RecordBatch], items: list[tuple], options: tuple, key: str, text: str, item_type: pa.DataType, clean: bool) -> Iterator[pa.RecordBatch]:
     from tidelog.llm.near_dedup import _chunks
 
+    keep("decontaminate")
     index = Index(items, *options)
     for batch in batches:
         texts = [(t.as_py() or "").encode() for t in batch.column(text)]
         hits = []
-        for lo, hi in _chunks(texts, 4 << 20):
+        for lo, hi in _chunks(texts, 1 << 20):
             hits += [(lo + h[0], *h[1:]) for h in index.hits(Block(texts[lo:hi], NO_WORD, LOWER))]
         if clean:
-            keep = np.ones(len(texts), bool)
-            keep[[h[0] for h in hits]] = False
-            yield batch.filter(pa.array(keep))
+            clear = np.ones(len(texts), bool)
+            clear[[h[0] for h in hits]] = False
+            yield batch.filter(pa.array(clear))
         elif hits:
             of, item, first, end, distance = zip(*hits, strict=True)
             columns = [batch.column(key).take(pa.array(of)), pa.array([index.ids[i] for i in item], item_type), pa.array(first, pa.int64()), pa.array(end, pa.int64()), pa.array(distance, pa.int32())]
             yield pa.RecordBatch.from_arrays(columns, names=[key, "item_id", "first_word", "end_word", "distance"])
 
 
-def _slices(benchmark: DataFrame, item: str, text: str, most: int) -> list[list[tuple]]:
-    """The items in slices of about `most` bytes, each small enough to travel with the tasks."""
+def _slices(benchmark: DataFrame, item: str, text: str, most: int) -> Iterator[tuple[list[tuple], bool]]:
+    """The items in slices of about `most` bytes, each small enough to travel with the tasks, and whether it is the only one.
+    One slice at a time is fetched."""
     size = benchmark.agg(F.sum(F.coalesce(F.octet_length(text), F.lit(0)))).first()[0] or 0
     n = max(1, -(-size // most))
     own = F.pmod(F.xxhash64(text), F.lit(n))
     rows = benchmark.select(F.col(item), F.col(text))
-    return [[tuple(r) for r in rows.where(own == i).sort(item, text).collect()] for i in range(n)]
+    for i in range(n):
+        yield [tuple(r) for r in rows.where(own == i).sort(item, text).collect()], n == 1
 
 
-def _passes(docs: DataFrame, benchmark: DataFrame, key, text, item, item_text, share, min_words, slice_bytes, clean):
+def _passes(docs: DataFrame, benchmark: DataFrame, key, text, item, item_text, share, min_words, slice_bytes, clean) -> Iterator[tuple[partial, T.StructType, bool]]:
+    """A pass over the texts for each slice, and whether it is the only one: else its result is settled before the next slice is
+    fetched, so that neither the driver nor a task holds more than one."""
     from pyspark.sql.pandas.types import to_arrow_type
 
+    small_batches(docs)
     kind = benchmark.schema[item].dataType
     schema = docs.schema if clean else T.StructType([T.StructField(key, docs.schema[key].dataType), T.StructField("item_id", kind), T.StructField("first_word", T.LongType()), T.StructField("end_word", T.LongType()), T.StructField("distance", T.IntegerType())])
-    return [(partial(_scan, items=s, options=(share, min_words), key=key, text=text, item_type=to_arrow_type(kind), clean=clean), schema) for s in _slices(benchmark, item, item_text, slice_bytes)]
+    for items, only in _slices(benchmark, item, item_text, slice_bytes):
+        yield partial(_scan, items=items, options=(share, min_words), key=key, text=text, item_type=to_arrow_type(kind), clean=clean), schema, only
 
 
 def find_leaks(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text", item: str = "item_id", item_text: str = "text",
@@ -236,12 +244,14 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text:
     is picked is verified exactly with Myers' algorithm. So every text with a place is reported for every item and size.
     Of places of an item that overlap, the best is given. Items below `min_words` words are found in exact copies only.
 
-    Whole texts are streamed, without a shuffle; items travel with the tasks in slices of `slice_bytes`, one pass each, so
-    the benchmark may be of any size. Null and empty texts have no places; null keys stay null; repeated rows give repeated
+    Whole texts are streamed, without a shuffle; items travel with the tasks in slices of `slice_bytes`, one pass over the
+    texts each, one slice at a time, so memory is bounded for a benchmark of any size. Null and empty texts have no places; null keys stay null; repeated rows give repeated
     places; items that are alike are all reported. An empty table on either side gives no rows.
     """
-    docs = docs.select(key, text)
-    parts = [docs.mapInArrow(f, schema) for f, schema in _passes(docs, benchmark, key, text, item, item_text, share, min_words, slice_bytes, False)]
+    docs, scratch = docs.select(key, text), Scratch(docs.sparkSession)
+    parts = []
+    for scan, schema, only in _passes(docs, benchmark, key, text, item, item_text, share, min_words, slice_bytes, False):
+        parts.append(docs.mapInArrow(scan, schema) if only else scratch.settle(docs.mapInArrow(scan, schema)))
     out = parts[0]
     for more in parts[1:]:
         out = out.unionByName(more)
@@ -251,7 +261,8 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text:
 def drop_leaks(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text", item: str = "item_id", item_text: str = "text",
                share: float = 0.2, min_words: int = 8, slice_bytes: int = 8 << 20) -> DataFrame:
     """The rows whose text holds no benchmark item, all columns unchanged; see find_leaks."""
-    for f, schema in _passes(docs, benchmark, key, text, item, item_text, share, min_words, slice_bytes, True):
-        docs = docs.mapInArrow(f, schema)
+    scratch = Scratch(docs.sparkSession)
+    for scan, schema, only in _passes(docs, benchmark, key, text, item, item_text, share, min_words, slice_bytes, True):
+        docs = docs.mapInArrow(scan, schema) if only else scratch.settle(docs.mapInArrow(scan, schema))
     return docs
 

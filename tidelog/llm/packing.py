@@ -5,14 +5,14 @@ from __future__ import annotations
 import bisect
 import zlib
 from collections.abc import Iterator
-from functools import lru_cache, partial
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidelog.llm.common import Memo, Scratch
+from tidelog.llm.common import Memo, Scratch, keep, small_batches
 
 PIECES = "doc_id long, piece int, start long, length int, ids_crc32 long"
 ITEM = pa.struct([("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int32()), ("ids_crc32", pa.int64())])
@@ -20,9 +20,8 @@ BINS = "bin long, used int, items array<struct<doc_id:long,piece:int,start:long,
 BIN_FIELDS = pa.schema([("bin", pa.int64()), ("used", pa.int32()), ("items", pa.list_(ITEM))])
 
 
-@lru_cache(1)
 def token_bytes(tokenizer_path: str) -> Memo:
-    """Little-endian ids of a chunk without blanks, remembered for all tasks of a worker.
+    """Little-endian ids of a chunk without blanks, remembered, as a bounded number of bytes.
 
     Words of this vocabulary never span a blank, and blanks give no ids, so chunks may be encoded alone. Letters and the
     punctuation after them are separate words, and letters are lower-cased, which saves many encodings.
@@ -46,7 +45,7 @@ def token_bytes(tokenizer_path: str) -> Memo:
             found = encode(chunk, add_special_tokens=False).ids
         return np.array(found, "<u4").tobytes()
 
-    memo = Memo(ids, 400_000)
+    memo = Memo(ids)
     return memo
 
 
@@ -57,7 +56,7 @@ def document_ids(text: str | None, chunks: Memo) -> bytes:
 
 
 def _tokenise(batches: Iterator[pa.RecordBatch], path: str, limit: int) -> Iterator[pa.RecordBatch]:
-    chunks = token_bytes(path)
+    chunks = keep(("packing", path), partial(token_bytes, path))
     step = 4 * limit
     for batch in batches:
         rows: list[tuple] = []
@@ -137,8 +136,7 @@ def pack(docs: DataFrame, tokenizer_path: str | None = None, limit: int = 4096,
         import public_tokenizers
 
         tokenizer_path = public_tokenizers.path("word_bpe_49k.json")
-    spark = docs.sparkSession
-    scratch = Scratch(spark)
+    scratch = Scratch(small_batches(docs).sparkSession)
     chosen = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
     pieces = scratch.settle(chosen.mapInArrow(partial(_tokenise, path=tokenizer_path, limit=limit), PIECES))
     full = pieces.where(F.col("length") == limit).select(F.lit(limit).alias("used"), F.array(F.struct(*ITEM.names)).alias("items"))
@@ -153,7 +151,7 @@ def pack(docs: DataFrame, tokenizer_path: str | None = None, limit: int = 4096,
         open_bins = level.where(~closed)
         n = open_bins.count()
         target = max(-(-groups // fan_in), -(-n // most_bins))
-        if n == 0 or groups <= 1 or (target >= groups and before is not None and n >= 0.99 * before):
+        if n == 0 or groups <= 1 or (target >= groups and before is not None and n >= before):
             done.append(open_bins.select("used", "items"))
             break
         grp = F.col("grp") if target < groups else F.xxhash64("bin", "grp")

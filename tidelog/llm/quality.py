@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidelog.llm.common import mix64
+from tidelog.llm.common import free_names, keep, mix64, small_batches
 
 BITS, DIM = 16, 12
 BUCKETS = 1 << BITS
@@ -64,7 +64,7 @@ def features(texts: list[str]) -> list[tuple[np.ndarray, np.ndarray]]:
     return [(_bucket(words), first), (_bucket(pairs[kept]), np.searchsorted(kept, first)), *out]
 
 
-def chunks(texts: list[str], most: int = 1 << 20) -> Iterator[tuple[int, int]]:
+def chunks(texts: list[str], most: int = 1 << 18) -> Iterator[tuple[int, int]]:
     lo = held = 0
     for i, t in enumerate(texts):
         if i > lo and held + len(t) > most:
@@ -105,30 +105,32 @@ def train(docs: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, buckets
 
 
 def _train_all(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    keep("quality")
     rows: list[tuple] = []
     for b in batches:
         for key, label, text in zip(*(c.to_pylist() for c in b.columns), strict=True):
             buckets = np.concatenate([f for f, _ in features([text or ""])])
             found, n = np.unique(buckets, return_counts=True)
-            rows.append((key, label, (found.astype(np.int64), n.astype(np.float32))))
+            rows.append((key, label, (found.astype(np.uint16), n.astype(np.float32))))  # BUCKETS entries of 6 bytes at most
     rows.sort(key=lambda r: (r[0], r[1]))  # the exchange hands rows over in any order
     weights, bias = train([r[2] for r in rows], np.array([r[1] for r in rows], np.int64))
     yield pa.RecordBatch.from_arrays([pa.array([weights.tobytes()], pa.binary()), pa.array([bias])], names=["weights", "bias"])
 
 
-def fit(docs: DataFrame, labels: DataFrame, sample: int = 3000, max_bytes: int = 60_000, key: str = "doc_id", text: str = "text", label: str = "quality", fold: int | None = 5) -> tuple[np.ndarray, float]:
+def fit(docs: DataFrame, labels: DataFrame, sample: int = 3000, key: str = "doc_id", text: str = "text", label: str = "quality", fold: int | None = 5) -> tuple[np.ndarray, float]:
     """Fit on at most `sample` labelled rows, the first in the order of a hash of the key.
 
     Rows with crc32(key as text) mod `fold` = 0 are held out. Rows without a key or a label of 0 or 1 teach nothing, nor do
     texts of over `max_bytes` bytes: both bounds bound the memory of the one task that fits. Repeated keys with one label
     count once. Without any row, the model scores every text the same. The model is BUCKETS floats, whatever the input.
     """
+    small_batches(docs)
     rows = labels.select(F.col(key).alias("key"), F.col(label).cast("int").alias("label")).where("key IS NOT NULL AND label IN (0, 1)").distinct()
     if fold:
         rows = rows.where(F.crc32(F.col("key").cast("string").cast("binary")) % fold != 0)
     chosen = rows.orderBy(F.xxhash64(F.col("key"), F.lit(1)), "key", "label").limit(sample)  # ids only: bounded, so it may be broadcast
-    texts = docs.select(F.col(key).alias("key"), F.col(text).alias("text")).where(F.octet_length("text") <= max_bytes)
-    taught = texts.join(F.broadcast(chosen), "key").dropDuplicates(["key", "label"]).select("key", "label", "text")
+    texts = docs.select(F.col(key).alias("key"), F.col(text).alias("text")).where(F.col("text").isNotNull())
+    taught = texts.join(F.broadcast(chosen), "key").groupBy("key", "label").agg(F.min_by("text", F.xxhash64("text")).alias("text"))
     row = taught.coalesce(1).mapInArrow(_train_all, "weights binary, bias double").first()
     if row is None:
         return np.zeros(BUCKETS, np.float32), 0.0
@@ -136,6 +138,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = 3000, max_bytes: int =
 
 
 def _score(batches: Iterator[pa.RecordBatch], model: tuple[np.ndarray, float], threshold: float, name: tuple[str, str]) -> Iterator[pa.RecordBatch]:
+    keep("quality")
     weights, bias = model
     weights = weights.astype(np.float64)
     for batch in batches:
@@ -160,6 +163,7 @@ def score(docs: DataFrame, model: tuple[np.ndarray, float], text: str = "text",
     Null and empty texts have no features and get the score of the model's constant. Columns named as in `names` are
     replaced. The model (a fixed number of floats) travels with the tasks; there is no shuffle.
     """
-    docs = docs.drop(*names)
+    docs = small_batches(docs).drop(*names)
     schema = T.StructType(docs.schema.fields).add(names[0], T.DoubleType()).add(names[1], T.IntegerType())
-    return docs.withColumn("__text", F.col(text)).mapInArrow(partial(_score, model=model, threshold=threshold, name=names), schema)
+    (own,) = free_names([*docs.columns, *names], "text")
+    return docs.withColumn(own, F.col(text)).mapInArrow(partial(_score, model=model, threshold=threshold, name=names), schema)

@@ -81,7 +81,7 @@ class Memo(dict):
     #: What an entry takes beside its characters and bytes: both objects' heads and its place in the dictionary.
     ENTRY = 200
 
-    def __init__(self, fn, most: int = 96 << 20):
+    def __init__(self, fn, most: int = 176 << 20):
         super().__init__()
         self.fn, self.most, self.old, self.held = fn, most // 2, {}, 0
 

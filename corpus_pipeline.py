@@ -6,13 +6,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidelog.llm import decontaminate, line_dedup, near_dedup, packing, quality
-from tidelog.llm.common import Scratch, table
+from tidelog.llm.common import Scratch, free_names, table
 
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier takes for good ones; it learns from the labels of those at hand."""
     model = quality.fit(docs, table(spark, sf_dir, "labels"))
-    return quality.score(docs, model, names=("__score", "__good")).where("__good = 1").select(*docs.columns)
+    score, good = free_names(docs.columns, "score", "good")
+    return quality.score(docs, model, names=(score, good)).where(F.col(good) == 1).select(*docs.columns)
 
 
 def drop_boilerplate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
